@@ -73,6 +73,18 @@ def _read(pdf: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pdf["ids"]), kind).astype(np.int64), n
 
 
+def _slices(batches: Iterator[pd.DataFrame], size: int, words: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts a few at a time, so that what is made of their words fits in memory; a very long one stands alone."""
+    for pdf in batches:
+        ids, n = _read(pdf, size)
+        ends, lo, at = np.cumsum(n), 0, 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, at + words, side="right")))
+            if ends[hi - 1] > at:
+                yield ids[at : ends[hi - 1]], n[lo:hi]
+            lo, at = hi, int(ends[hi - 1])
+
+
 def _weights(encoded: DataFrame, size: int) -> np.ndarray:
     """Squared IDF of each vocabulary word over all documents; words outside weigh as much as one seen once."""
 
@@ -112,10 +124,7 @@ def _directions(encoded: DataFrame, idf: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size + 1, k))
-        for pdf in batches:
-            ids, n = _read(pdf, size)
-            if not len(ids):
-                continue
+        for ids, n in _slices(batches, size):
             starts = np.cumsum(n) - n
             at = np.arange(len(ids)) - np.repeat(starts, n)
             first = np.flatnonzero(at % WINDOW == 0)
@@ -202,8 +211,8 @@ class Index:
         ok = (rows[:n] == rows[WINDOW - 1 :]) & (in_e[WINDOW:] - in_e[:n] >= SHARE * (all_e[WINDOW:] - all_e[:n]) - 1e-9)
         at = np.flatnonzero(ok)
         out = []
-        for lo in range(0, len(at), 50_000):
-            part = at[lo : lo + 50_000]
+        for lo in range(0, len(at), 20_000):
+            part = at[lo : lo + 20_000]
             v = self._project(ids[part[:, None] + np.arange(WINDOW)])
             code, _ = self._cell(v)
             order = np.argsort(code, kind="stable")
@@ -261,8 +270,8 @@ def _block(documents: DataFrame, items: Items, paraphrases: bool, key: str, text
         index = Index(*held.value)
         rare = np.quantile(index.idf2[1:], 0.5) if size else 0.0
         for pdf in batches:
-            for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000]
+            for lo in range(0, len(pdf), 1000):
+                part = pdf.iloc[lo : lo + 1000]
                 ids, n = _read(part, size)
                 at, win, cos = index.search(ids, n)
                 if not len(at):
