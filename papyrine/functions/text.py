@@ -24,9 +24,8 @@ def preprocess_text(t: Column) -> Column:
 
 
 def tokens(t: Column, least: int = 2) -> Column:
-    """Lower-case words of at least ``least`` characters, in order."""
-    found = F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
-    return found if least < 2 else F.filter(found, lambda x: F.char_length(x) >= least)
+    """Lower-case words of at least ``least`` characters, in order; the pattern itself leaves shorter ones out."""
+    return F.regexp_extract_all(F.lower(t), F.lit(rf"[\p{{L}}\p{{N}}_]{{{least},}}"), F.lit(0))
 
 
 def raw_words(t: Column) -> Column:

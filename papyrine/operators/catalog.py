@@ -100,11 +100,11 @@ def _fs(spark: SparkSession, root: str):
 
 def _point(spark: SparkSession, root: str, version: str) -> None:
     fs, path = _fs(spark, root)
-    out = fs.create(path(f"{root}/_current.tmp"), True)
+    out = fs.create(path(f"{root}/current.json.tmp"), True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    fs.delete(path(f"{root}/_current"), False)
-    fs.rename(path(f"{root}/_current.tmp"), path(f"{root}/_current"))
+    fs.delete(path(f"{root}/current.json"), False)
+    fs.rename(path(f"{root}/current.json.tmp"), path(f"{root}/current.json"))
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
@@ -113,14 +113,14 @@ def versions(spark: SparkSession, root: str) -> list[str]:
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = json.loads(spark.read.text(f"{root}/_current").first()[0])["version"]
+    version = json.loads(spark.read.text(f"{root}/current.json").first()[0])["version"]
     return spark.read.parquet(os.path.join(root, version))
 
 
 def rollback(spark: SparkSession, root: str) -> str:
     """Points to the version before the current one."""
     all_versions = versions(spark, root)
-    now = json.loads(spark.read.text(f"{root}/_current").first()[0])["version"]
+    now = json.loads(spark.read.text(f"{root}/current.json").first()[0])["version"]
     before = [v for v in all_versions if v < now]
     if not before:
         raise RuntimeError("there is no earlier version")

@@ -135,22 +135,69 @@ def dequantise(q):
     return F.transform(q["codes"], lambda x: x.cast("double") * q["step"])
 
 
+def _sample(vectors: DataFrame, key: str, vector: str, most: int) -> np.ndarray:
+    """Unit vectors of at most ``most`` rows (a documented bound of the fit; every row is indexed)."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(vector).alias("v")).orderBy("h").limit(most).toPandas()
+    if not len(rows):
+        return np.zeros((0, 1))
+    x = np.stack(rows["v"].to_numpy()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def centroids_of(x: np.ndarray, k: int, seed: int = 42, rounds: int = 15) -> np.ndarray:
+    """Centres of k-means, begun at far-apart points."""
+    rng = np.random.default_rng(seed)
+    k = max(1, min(k, len(x)))
+    c = [x[rng.integers(len(x))]]
+    far = ((x - c[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        total = far.sum()
+        c.append(x[rng.choice(len(x), p=far / total)] if total > 0 else x[rng.integers(len(x))])
+        far = np.minimum(far, ((x - c[-1]) ** 2).sum(1))
+    c = np.stack(c)
+    for _ in range(rounds):
+        near = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+        n = np.bincount(near, minlength=k)
+        new = np.zeros_like(c)
+        np.add.at(new, near, x)
+        new = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], c)
+        if np.allclose(new, c):
+            break
+        c = new
+    return c
+
+
+def _coded(vectors: DataFrame, vector: str, name: str, books: list[np.ndarray]) -> DataFrame:
+    """Adds ``name``: for each code book, in the order of the vector's parts, the nearest code."""
+    held = vectors.sparkSession.sparkContext.broadcast(books)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def code(v: pd.Series) -> pd.Series:
+        out: list = [None] * len(v)
+        at = [i for i, x in enumerate(v) if x is not None]
+        if at:
+            x = np.stack([np.asarray(v.iloc[i], np.float64) for i in at])
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            width = x.shape[1] // len(held.value)
+            codes = np.stack([np.argmin((c * c).sum(1) - 2 * x[:, p * width : (p + 1) * width] @ c.T, axis=1) for p, c in enumerate(held.value)], axis=1)
+            for i, row in zip(at, codes.tolist()):
+                out[i] = row
+        return pd.Series(out)
+
+    return vectors.withColumn(name, code(F.col(vector)))
+
+
 def ivf_lists(vectors: DataFrame, lists: int = 16, key: str = "doc_id", vector: str = "embedding", sample: int = 50_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """(vectors with ``bucket``, centroids): inverted lists by k-means on a bounded sample; every row is indexed."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """(vectors with ``bucket``, centroids): inverted lists by k-means on a bounded sample; every row is indexed.
 
-    n = vectors.count()
-    lists = max(1, min(lists, n // 40))
-    unit_rows = vectors.withColumn("_u", unit(F.col(vector)))
-    fit_on = unit_rows.orderBy(F.xxhash64(key)).limit(sample) if n > sample else unit_rows
-    centres = [np.array(c) for c in KMeans(k=lists, seed=seed, featuresCol="f", maxIter=15).fit(fit_on.select(array_to_vector("_u").alias("f"))).clusterCenters()] if lists > 1 else [np.zeros(1)]
+    Fewer than 40 vectors to a list make one list.
+    """
+    x = _sample(vectors, key, vector, sample)
+    lists = max(1, min(lists, len(x) // 40))
     if lists == 1:
         return vectors.withColumn("bucket", F.lit(0)), np.zeros((1, 1))
-    c = np.stack(centres)
-    distance = [F.aggregate(F.zip_with("_u", F.array(*[F.lit(float(x)) for x in row]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for row in c]
-    nearest = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(distance)]))["i"]
-    return unit_rows.withColumn("bucket", nearest).drop("_u"), c
+    c = centroids_of(x, lists, seed)
+    return _coded(vectors, vector, "_b", [c]).withColumn("bucket", F.col("_b")[0]).drop("_b"), c
 
 
 def ivf_search(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
@@ -164,22 +211,13 @@ def ivf_search(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, k:
     return top_k(scored, k, key=key)
 
 
-def pq_codes(vectors: DataFrame, parts: int = 8, codes: int = 16, vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """Adds ``pq``: the code of each part of the vector by a k-means of that part."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    dim = vectors.select(F.size(vector)).first()[0]
-    while dim % parts:
+def pq_codes(vectors: DataFrame, parts: int = 8, codes: int = 16, key: str = "doc_id", vector: str = "embedding", sample: int = 50_000, seed: int = 42) -> DataFrame:
+    """Adds ``pq``: the code of each part of the vector by a k-means of that part; parts divide the dimension."""
+    x = _sample(vectors, key, vector, sample)
+    while x.shape[1] % parts:
         parts -= 1
-    out, width = vectors.withColumn("_u", unit(F.col(vector))), dim // parts
-    names = []
-    for p in range(parts):
-        part = out.withColumn("f", array_to_vector(F.slice("_u", p * width + 1, width)))
-        model = KMeans(k=codes, seed=seed, featuresCol="f", predictionCol=f"_c{p}", maxIter=8).fit(part.select("f"))
-        out = model.transform(part).drop("f")
-        names.append(f"_c{p}")
-    return out.withColumn("pq", F.array(*names)).drop("_u", *names)
+    width = x.shape[1] // parts
+    return _coded(vectors, vector, "pq", [centroids_of(x[:, p * width : (p + 1) * width], codes, seed + p) for p in range(parts)])
 
 
 def representatives(vectors: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import stemming, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, logs, rerank, routing, scaffold, sparse
-from papyrine.plans.layout import cut, table
+from papyrine.plans.layout import cut, spread, table
 from papyrine.sources import readers, writers
 
 REGISTRY: dict = {}
@@ -26,7 +26,8 @@ def _items(spark, d) -> DataFrame:
 
 
 def _docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    """A single small file would be read by one task; larger tables pass without a shuffle."""
+    return spread(table(spark, d, "documents"))
 
 
 def _vectors(spark, d) -> DataFrame:
