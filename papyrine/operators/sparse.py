@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import tokens
+from papyrine.plans.layout import cut, spread
 
 K1, B = 1.5, 0.75
 #: Score at which the similarity reaches 1.
 FULL_SCORE = 15.0
+#: Queries scored at a time.
+QUERY_BLOCK = 1024
+_WORDS = re.compile(r"\w{2,}")
 
 
 def tokenised(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -61,10 +71,103 @@ def similarity(score):
     return F.least(score / FULL_SCORE, F.lit(1.0))
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
-    """(qid, doc_id, rnk, score, sim): positive scores only."""
-    found = top_k(bm25_scores(documents, queries, **kw).where("score > 0"), k)
-    return found.select("qid", "doc_id", F.col("rnk").cast("int").alias("rnk"), F.round("score", 6).alias("score"), F.round(similarity(F.col("score")), 6).alias("sim"))
+def _encoded(documents: DataFrame, vocabulary: dict[str, int], key: str, text: str) -> DataFrame:
+    """(key, dl, ids, tfs): each document's length and its words that the queries hold, as numbers."""
+    held = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = held.value.get
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf["k"], pdf["t"]):
+                words = _WORDS.findall(t.lower())
+                if words:
+                    counted = Counter(map(get, words))
+                    counted.pop(None, None)
+                    out.append((k, len(words), np.fromiter(counted.keys(), np.int32, len(counted)).tobytes(), np.fromiter(counted.values(), np.int32, len(counted)).tobytes()))
+            yield pd.DataFrame(out, columns=[key, "dl", "ids", "tfs"])
+
+    rows = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null"))
+    return cut(rows.mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, dl long, ids binary, tfs binary"))
+
+
+def _statistics(encoded: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
+    """(documents, average length, document frequency of each query word): one row per word and task is summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, total = np.zeros(size, np.int64), 0, 0
+        for pdf in batches:
+            df += np.bincount(np.frombuffer(b"".join(pdf["ids"]), np.int32), minlength=size)
+            n, total = n + len(pdf), total + int(pdf["dl"].sum())
+        yield pd.DataFrame({"i": np.r_[np.arange(size), -1, -2], "x": np.r_[df, n, total]})
+
+    x = {r.i: r.x for r in encoded.mapInPandas(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+    n = x.get(-1, 0)
+    return n, x.get(-2, 0) / n if n else 0.0, np.array([x.get(i, 0) for i in range(size)], np.float64)
+
+
+def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, avgdl: float | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, key, rnk, score, sim): the k best of all documents for each of a stated set of queries, positive scores only.
+
+    The result is that of ``bm25_scores``. Documents are scored in batches against blocks
+    of queries, as products of a batch's words with the queries' weights, and a batch
+    passes on no more than k rows of each query; joining words to words would ship one
+    row for every word that a query and a document share.
+    """
+    spark = documents.sparkSession
+    qtype, ktype = dict(queries.dtypes)["qid"], dict(documents.dtypes)[key]
+    asked = query_terms(queries).orderBy("qid", "term").toLocalIterator()
+    vocabulary: dict[str, int] = {}
+    per: dict = {}
+    for r in asked:
+        per.setdefault(r.qid, []).append((vocabulary.setdefault(r.term, len(vocabulary)), r.qf))
+    schema = f"qid {qtype}, {key} {ktype}, score double"
+    if not vocabulary:
+        return _ranked(spark.createDataFrame([], schema), k, key)
+    encoded = _encoded(documents, vocabulary, key, text)
+    n, mean, df = _statistics(encoded, len(vocabulary))
+    idf = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
+    mean = mean if avgdl is None else float(avgdl)
+    rows = encoded if allowed is None else encoded.join(allowed.select(key).distinct(), key, "left_semi")
+    ids, out = list(per), None
+    for lo in range(0, len(ids), QUERY_BLOCK):
+        part = ids[lo : lo + QUERY_BLOCK]
+        weights = np.zeros((len(vocabulary), len(part)))
+        for j, q in enumerate(part):
+            for t, qf in per[q]:
+                weights[t, j] = qf * idf[t]
+        held = spark.sparkContext.broadcast((part, weights, mean))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            part, weights, mean = held.value
+            step = max(50, 4_000_000 // len(weights))
+            for pdf in batches:
+                for at in range(0, len(pdf), step):
+                    p = pdf.iloc[at : at + step]
+                    sizes = np.array([len(x) // 4 for x in p["ids"]])
+                    if not sizes.sum():
+                        continue
+                    t, tf = np.frombuffer(b"".join(p["ids"]), np.int32), np.frombuffer(b"".join(p["tfs"]), np.int32)
+                    rows_ = np.repeat(np.arange(len(p)), sizes)
+                    dl = p["dl"].to_numpy()[rows_]
+                    w = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / mean))
+                    dense = np.zeros((len(p), len(weights)))
+                    dense[rows_, t] = w
+                    s = (dense @ weights).T
+                    keys = p[key].to_numpy()
+                    take = min(k, s.shape[1])
+                    order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(keys)), s.shape), -np.round(s, 6)), axis=1)[:, :take]
+                    best = pd.DataFrame({"qid": np.repeat(part, take), key: keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                    yield best[best["score"] > 0]
+
+        found = rows.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return _ranked(out, k, key)
+
+
+def _ranked(scores: DataFrame, k: int, key: str) -> DataFrame:
+    found = top_k(scores, k, key=key)
+    return found.select("qid", key, F.col("rnk").cast("int").alias("rnk"), F.round("score", 6).alias("score"), F.round(similarity(F.col("score")), 6).alias("sim"))
 
 
 def sparse_dot(queries: DataFrame, documents: DataFrame) -> DataFrame:

@@ -130,6 +130,7 @@ _LINKS = """lk AS (SELECT a, b FROM cp UNION SELECT r.doc_id AS a, hs.doc_id AS
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["bm25_topk"] = f"WITH {bm25()}, {run()} SELECT * FROM sp"
+    sql["bm25_joined"] = f"WITH {bm25()} SELECT qid, count(*) AS n, round(sum(score), 3) AS total, round(max(score), 6) AS best FROM sc GROUP BY qid"
     sql["bm25_filtered_lang"] = f"WITH {bm25()}, {run(where=chr(10) + 'WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')} SELECT * FROM sp"
     sql["bm25_fts_variant"] = f"WITH {bm25(1.2)}, {run()} SELECT qid, doc_id, rnk, score FROM sp"
     sql["bm25_fixed_length"] = f"WITH {bm25(1.5, '1000.0::DOUBLE')}, {run()} SELECT qid, doc_id, rnk, score FROM sp"
@@ -272,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
     sql["latest_wins"] = "SELECT id, role, epoch_us(received_at) AS received_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, coalesce(role, '') DESC) AS n FROM messages WHERE id IS NOT NULL) WHERE n = 1"
     sql["file_status_counts"] = "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type"
     sql["citations"] = f"""WITH {bm25()}, rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rnk FROM sc)
-        SELECT qid, rnk, d.id AS chunk_id, coalesce(source, 'unknown') AS source_file, json_extract_string(metadata, '$.page') AS page, substr(text, 1, 200) AS snippet, round(score, 4) AS score FROM rk JOIN documents d USING (doc_id) WHERE rnk <= 10"""
+        SELECT qid, rnk, d.id AS chunk_id, coalesce(source, 'unknown') AS source_file, json_extract_string(metadata, '$.page') AS page, substr(text, 1, 200) AS snippet, round(score, 6) AS score FROM rk JOIN documents d USING (doc_id) WHERE rnk <= 10"""
     sql["date_range"] = "SELECT doc_id, strftime(created_at, '%Y-%m-%d') AS day FROM documents WHERE created_at >= TIMESTAMP '2025-03-01' AND created_at < TIMESTAMP '2025-04-01'"
     sql["query_scrub"] = "SELECT id, sha256(question) AS question_hash FROM evaluations"
     sql["sanitized_input"] = "SELECT id, md5(CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '...' ELSE t END) AS contexts_md5 FROM (SELECT id, replace(replace(contexts, chr(10), ' '), chr(13), ' ') AS t FROM evaluations)"

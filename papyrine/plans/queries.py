@@ -68,6 +68,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _sparse_run(spark, d)
 
 
+@query
+def bm25_joined(spark, d):
+    """The same scores from word joins alone, summed over each query's documents."""
+    s = sparse.bm25_scores(_docs(spark, d), _items(spark, d))
+    return s.groupBy("qid").agg(F.count("*").alias("n"), _r(F.sum("score"), 3).alias("total"), _r(F.max("score")).alias("best"))
+
+
 @query
 def bm25_filtered_lang(spark, d):
     return sparse.search(_docs(spark, d), _items(spark, d), allowed=_docs(spark, d).where("lang = 'en'"))
@@ -605,9 +612,8 @@ def compaction_steps(spark, d):
 
 @query
 def citations(spark, d):
-    found = sparse.top_k(sparse.bm25_scores(_docs(spark, d), _items(spark, d)), 10)
-    c = found.join(_docs(spark, d).select("doc_id", "id", "source", "text", "metadata"), "doc_id")
-    return c.select("qid", "rnk", F.col("id").alias("chunk_id"), F.coalesce("source", F.lit("unknown")).alias("source_file"), F.get_json_object("metadata", "$.page").alias("page"), F.substring("text", 1, 200).alias("snippet"), _r("score", 4).alias("score"))
+    c = _sparse_run(spark, d).join(_docs(spark, d).select("doc_id", "id", "source", "text", "metadata"), "doc_id")
+    return c.select("qid", "rnk", F.col("id").alias("chunk_id"), F.coalesce("source", F.lit("unknown")).alias("source_file"), F.get_json_object("metadata", "$.page").alias("page"), F.substring("text", 1, 200).alias("snippet"), "score")
 
 
 @query
