@@ -13,6 +13,7 @@ language depends on the kind of boundary.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +23,8 @@ FAMILIES = {"germanic": ("de", "en", "nl"), "romance": ("es", "fr", "it", "pt")}
 LANGS = tuple(x for v in FAMILIES.values() for x in v)
 PAIRS = tuple(p for v in FAMILIES.values() for p in combinations(v, 2))
 
+#: Training rows that must hold an n-gram.
+LEAST_GRAM = 3
 #: Words a unit has at most.
 MAX_UNIT = 10
 #: Words kept in a worker's score cache before it starts anew (memory bound only).
@@ -32,7 +35,7 @@ SWITCH = (4.0, 7.0, 11.0)
 MIN_WORDS = 4
 
 #: Words of a block of the first look at a text, and the gain over the text's own language that calls for a closer one.
-BLOCK, BLOCK_GAIN, PAIR_GAIN = 5, 5.0, 4.0
+BLOCK, BLOCK_GAIN, PAIR_GAIN = 5, 3.5, 2.5
 #: A stretch less sure than this takes the language beside it.
 MIN_CONFIDENCE = 0.8
 
@@ -61,12 +64,12 @@ def word_grams(word: str) -> set[str]:
     return grams
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) -> np.ndarray:
+def _fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 80) -> np.ndarray:
     """Squared-hinge linear SVM without bias by accelerated gradient descent."""
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1], x.dtype)
     v = w.copy()
     # The largest eigenvalue of X'X bounds the step.
-    p = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    p = np.full(x.shape[1], x.shape[1] ** -0.5, x.dtype)
     for _ in range(12):
         p = x.T @ (x @ p)
         top = np.linalg.norm(p)
@@ -156,12 +159,13 @@ def train(samples: list[tuple[str, str]], window: int = 5, stride: int = 2) -> L
             if p:
                 rows.append(p)
                 labels.append(lang)
-    col = {g: i for i, g in enumerate(sorted({g for r in rows for w in set(r) for g in word_grams(w)}))}
+    seen = Counter(g for r in rows for w in set(r) for g in word_grams(w))
+    col = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= LEAST_GRAM))}
     x = np.zeros((len(rows), len(col)), np.float32)
     for i, r in enumerate(rows):
         for w in r:
             f = word_grams(w)
-            x[i, [col[g] for g in f]] += 1.0 / len(f) ** 0.5
+            x[i, [col[g] for g in f if g in col]] += 1.0 / len(f) ** 0.5
         x[i] /= np.sqrt(len(r))
     labels = np.array(labels)
     weights = np.zeros((len(col), 1 + len(PAIRS)))
@@ -173,7 +177,7 @@ def train(samples: list[tuple[str, str]], window: int = 5, stride: int = 2) -> L
     for k, (keep, y) in enumerate(tasks):
         if keep.sum() < 2:
             continue
-        w = _fit_svm(x[keep].astype(np.float64), y[keep])
+        w = _fit_svm(x[keep], y[keep].astype(np.float32))
         weights[:, k] = w
         margin = np.abs(x[keep] @ w)
         # A unit of the usual margin is believed with odds of e^6.
