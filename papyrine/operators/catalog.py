@@ -42,9 +42,9 @@ def delete_cascade(members: DataFrame, collections: DataFrame, deleted: DataFram
     return left, kept
 
 
-def compaction_steps(queue: DataFrame, limit: int = 100) -> DataFrame:
-    """The next entries of a deletion queue (status, priority, enqueued_at)."""
-    return queue.where("status = 'pending'").orderBy(F.col("priority").desc(), "enqueued_at").limit(limit)
+def compaction_steps(queue: DataFrame, key: str, limit: int = 100) -> DataFrame:
+    """The next entries of a deletion queue (key, status, priority, enqueued_at)."""
+    return queue.where("status = 'pending'").orderBy(F.col("priority").desc(), "enqueued_at", key).limit(limit)
 
 
 def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:

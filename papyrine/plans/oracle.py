@@ -127,6 +127,63 @@ _LINKS = """lk AS (SELECT a, b FROM cp UNION SELECT r.doc_id AS a, hs.doc_id AS
     comp AS (SELECT x AS doc_id, min(y) AS cluster_id FROM reach GROUP BY x)"""
 
 
+def _audit() -> str:
+    from papyrine.functions.text import QUERY_PHRASES
+
+    cases = " ".join(f"WHEN regexp_matches(message, '{p.replace(chr(39), chr(39) * 2)}') THEN replace(message, regexp_extract(message, '{p.replace(chr(39), chr(39) * 2)}', 1), sha256(regexp_extract(message, '{p.replace(chr(39), chr(39) * 2)}', 1)))" for p in QUERY_PHRASES)
+    return f"SELECT log_id, upper(level) AS level, component, CASE {cases} ELSE message END AS message FROM logs_fts WHERE component <> 'log' AND timestamp >= '2025-01-10' AND timestamp < '2025-01-12'"
+
+
+def _log_entries() -> str:
+    """Entries by one expression for each layout; times are parts put together, not casts of whole lines."""
+    lv = "(?:debug|dbg|info|inf|warning|warn|error|err|critical|crit|fatal)"
+    iso = r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?: ?(?:Z|[+-]\d\d:?\d\d))?"
+    comp = r"[\w$][\w$./-]*"
+    # name, expression, and the numbers of the groups that hold time, level and component
+    layouts = [
+        ("a", rf"^({iso}) - ({lv}) - ({comp}) - .*$", 1, 2, 3),
+        ("b", rf"^({iso}) \| ({lv}) +\| ({comp}) +\| .*$".replace(" +", " *"), 1, 2, 3),
+        ("c", rf"^\[({iso})\] \[({lv})\] \[({comp})\] ?.*$", 1, 2, 3),
+        ("d", rf"^([A-Z][a-z][a-z] [ \d]\d \d\d:\d\d:\d\d) \S+ ({comp})(?:\[\d+\])?: <({lv})> ?.*$", 1, 3, 2),
+        ("e", rf'^"(\d\d/[A-Z][a-z][a-z]/\d{{4}}:\d\d:\d\d:\d\d [+-]\d{{4}})","({lv})","({comp})",".*"$', 1, 2, 3),
+        ("f", rf"^(\d\d:\d\d:\d\d\.\d+) \[[^\]]*\] ({lv}) +({comp}) - .*$", 1, 2, 3),
+        ("g", rf"^({lv}) +\[({comp})\] (\d{{4}}/\d\d/\d\d \d\d:\d\d:\d\d) .*$", 3, 1, 2),
+        ("h", rf"^([DIWEFC])(\d{{4}} \d\d:\d\d:\d\d\.\d+) +\d+ ({comp}):\d+\] .*$", 2, 1, 3),
+        ("i", rf"^(\d{{10}}\.\d+|\d{{13}}) ({lv}) ({comp}): .*$", 1, 2, 3),
+        ("j", r'^(?:[\w.-]+ +\| )?\{"asctime": "([^"]*)", "levelname": "([^"]*)", "name": "([^"]*)", .*\}$', 1, 2, 3),
+    ]
+    flag = lambda n: "" if n in "dh" else "(?i)"
+    quote = lambda p: p.replace("'", "''")
+    get = lambda k: " ".join(f"WHEN regexp_matches(message, '{flag(n)}{quote(p)}') THEN regexp_extract(message, '{flag(n)}{quote(p)}', {(t, v, c)[k]})" for n, p, t, v, c in layouts)
+    pair = lambda k: f"regexp_extract(message, '(?:^| ){k}=(\\S+)', 1)"
+    is_pairs = "regexp_matches(message, '(?:^| )level=') AND regexp_matches(message, '(?:^| )ts=') AND regexp_matches(message, '(?:^| )component=')"
+    field = lambda k: f"regexp_extract(message, '^\\s+\"{k}\"\\s*:\\s*\"([^\"]*)\"', 1)"
+    name_date = "regexp_extract(logfile, '(\\d{4}(?:-\\d\\d-\\d\\d)?)\\.log$', 1)"
+    month = "lpad(CAST((strpos('JanFebMarAprMayJunJulAugSepOctNovDec', {m}) + 2) // 3 AS VARCHAR), 2, '0')"
+    plain = f"""CASE
+        WHEN regexp_matches(tm, '^\\d{{4}}[-/]') THEN replace(replace(replace(substr(tm, 1, 19), 'T', ' '), '/', '-'), ',', '.')
+        WHEN regexp_matches(tm, '^\\d\\d/[A-Z]') THEN substr(tm, 8, 4) || '-' || {month.format(m='substr(tm, 4, 3)')} || '-' || substr(tm, 1, 2) || ' ' || substr(tm, 13, 8)
+        WHEN regexp_matches(tm, '^[A-Z]') THEN substr({name_date}, 1, 4) || '-' || {month.format(m='substr(tm, 1, 3)')} || '-' || replace(substr(tm, 5, 2), ' ', '0') || ' ' || substr(tm, 8, 8)
+        WHEN regexp_matches(tm, '^\\d{{4}} ') THEN substr({name_date}, 1, 4) || '-' || substr(tm, 1, 2) || '-' || substr(tm, 3, 2) || ' ' || substr(tm, 6, 8)
+        WHEN regexp_matches(tm, '^\\d\\d:') THEN {name_date} || ' ' || substr(tm, 1, 8) END"""
+    milli = "coalesce(TRY_CAST(rpad(substr(regexp_extract(tm, '\\d\\d:\\d\\d:\\d\\d[.,](\\d+)', 1), 1, 3), 3, '0') AS BIGINT), 0)"
+    z = "regexp_extract(tm, '([+-])\\d\\d:?\\d\\d$', 1)"
+    shift = f"CASE WHEN {z} <> '' AND regexp_matches(tm, ':\\d\\d(?:[.,]\\d+)? ?[+-]') THEN TRY_CAST({z} || '1' AS BIGINT) * (TRY_CAST(regexp_extract(tm, '[+-](\\d\\d):?(\\d\\d)$', 1) AS BIGINT) * 60 + TRY_CAST(regexp_extract(tm, '[+-](\\d\\d):?(\\d\\d)$', 2) AS BIGINT)) * 60000 ELSE 0 END"
+    return f"""WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY logfile, line_no ORDER BY indexed_at, log_id) AS n FROM logs_fts) WHERE n = 1),
+        l AS (SELECT logfile, line_no, message, component AS c0, level AS l0, "timestamp" AS t0, lead(message) OVER w AS m1, lead(message, 2) OVER w AS m2, lead(message, 3) OVER w AS m3 FROM o WINDOW w AS (PARTITION BY logfile ORDER BY line_no)),
+        h AS (SELECT logfile, line_no,
+                CASE WHEN c0 <> 'log' THEN t0 {get(0)} WHEN {is_pairs} THEN {pair('ts')} WHEN trim(message) = '{{' AND {field('timestamp').replace('message', 'm1')} <> '' THEN {field('timestamp').replace('message', 'm1')} END AS tm,
+                CASE WHEN c0 <> 'log' THEN l0 {get(1)} WHEN {is_pairs} THEN {pair('level')} WHEN trim(message) = '{{' AND {field('timestamp').replace('message', 'm1')} <> '' THEN {field('level').replace('message', 'm2')} END AS lv,
+                CASE WHEN c0 <> 'log' THEN c0 {get(2)} WHEN {is_pairs} THEN {pair('component')} WHEN trim(message) = '{{' AND {field('timestamp').replace('message', 'm1')} <> '' THEN {field('component').replace('message', 'm3')} END AS co FROM l),
+        s AS (SELECT *, max(CASE WHEN tm IS NOT NULL THEN line_no END) OVER (PARTITION BY logfile ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM h),
+        e AS (SELECT logfile, f, max(line_no) AS last_line FROM s WHERE f IS NOT NULL GROUP BY logfile, f)
+        SELECT e.logfile, f AS first_line, e.last_line,
+            CASE WHEN lower(lv) IN ('debug', 'dbg', 'd') THEN 'DEBUG' WHEN lower(lv) IN ('info', 'inf', 'i') THEN 'INFO' WHEN lower(lv) IN ('warning', 'warn', 'w') THEN 'WARNING' WHEN lower(lv) IN ('error', 'err', 'e') THEN 'ERROR' ELSE 'CRITICAL' END AS level, co AS component,
+            CASE WHEN regexp_matches(tm, '^\\d{{13}}$') THEN CAST(tm AS BIGINT) WHEN regexp_matches(tm, '^\\d{{10}}\\.') THEN CAST(substr(tm, 1, 10) || substr(rpad(substr(tm, 12), 3, '0'), 1, 3) AS BIGINT)
+                 ELSE epoch_us(TRY_CAST({plain.replace('logfile', 'e.logfile')} AS TIMESTAMP)) // 1000 + {milli} - ({shift}) END AS event_ms
+        FROM e JOIN h ON h.logfile = e.logfile AND h.line_no = e.f"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["bm25_topk"] = f"WITH {bm25()}, {run()} SELECT * FROM sp"
@@ -272,6 +329,12 @@ def oracle_sql() -> dict[str, str]:
         SELECT id, coalesce(n, 0) AS n FROM collections LEFT JOIN l ON c = id WHERE n IS NOT NULL OR id NOT IN (SELECT c FROM m)"""
     sql["latest_wins"] = "SELECT id, role, epoch_us(received_at) AS received_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, coalesce(role, '') DESC) AS n FROM messages WHERE id IS NOT NULL) WHERE n = 1"
     sql["file_status_counts"] = "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type"
+    sql["compaction_steps"] = "SELECT event_id, user_id % 3 AS priority FROM events WHERE event_type = 'click' ORDER BY user_id % 3 DESC, ts, event_id LIMIT 100"
+    sql["vector_norms"] = "SELECT vec_id, stored_at, round(n, 5) AS norm FROM (SELECT vec_id, stored_at, CASE WHEN len(vector) = 0 THEN 0.0 ELSE sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) END AS n FROM vectors WHERE vector IS NOT NULL) WHERE n IS NOT NULL AND NOT isnan(n) AND n < 1e30"
+    sql["questions_to_corpus"] = """WITH q AS (SELECT md5(question) AS qid, from_json(contexts, '["VARCHAR"]') AS ds FROM evaluations WHERE question IS NOT NULL), e AS (SELECT qid, md5(unnest(ds)) AS doc_id FROM q)
+        SELECT DISTINCT 'corpus' AS part, doc_id AS id FROM e WHERE doc_id IS NOT NULL UNION ALL SELECT DISTINCT 'query', qid FROM q UNION ALL SELECT DISTINCT 'judgement', qid || '/' || doc_id FROM e WHERE doc_id IS NOT NULL"""
+    sql["audit_export"] = _audit()
+    sql["p7_found"] = _log_entries()
     sql["citations"] = f"""WITH {bm25()}, rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rnk FROM sc)
         SELECT qid, rnk, d.id AS chunk_id, coalesce(source, 'unknown') AS source_file, json_extract_string(metadata, '$.page') AS page, substr(text, 1, 200) AS snippet, round(score, 6) AS score FROM rk JOIN documents d USING (doc_id) WHERE rnk <= 10"""
     sql["date_range"] = "SELECT doc_id, strftime(created_at, '%Y-%m-%d') AS day FROM documents WHERE created_at >= TIMESTAMP '2025-03-01' AND created_at < TIMESTAMP '2025-04-01'"

@@ -607,7 +607,7 @@ def file_status_counts(spark, d):
 @query
 def compaction_steps(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", "pending").otherwise("done").alias("status"), (F.col("user_id") % 3).alias("priority"), F.col("ts").alias("enqueued_at"))
-    return catalog.compaction_steps(e.orderBy("event_id")).select("event_id", "priority")
+    return catalog.compaction_steps(e, "event_id").select("event_id", "priority")
 
 
 @query
