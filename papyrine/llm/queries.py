@@ -132,6 +132,23 @@ def oracle_sql() -> dict[str, str]:
                          row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS r
                   FROM d a JOIN d b ON a.dim = b.dim AND a.vec_id <> b.vec_id)
             SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM p WHERE r <= 10""",
+        "p6_found": r"""
+            WITH RECURSIVE o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at) AS n FROM messages WHERE id IS NOT NULL AND conversation_id IS NOT NULL) WHERE n = 1),
+            p AS (SELECT id, conversation_id AS c, lower(regexp_replace(role, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS r, regexp_replace(content, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g') AS s,
+                         trim(created_at) AS t, json_extract_string(metadata, '$.reply_to') AS reply FROM o),
+            q AS (SELECT id, c, s, reply, CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant' WHEN r = 'system' THEN 'system' END AS role,
+                         CASE WHEN regexp_matches(t, '^\d{10}$') THEN TRY_CAST(t AS BIGINT) * 1000000 WHEN regexp_matches(t, '^\d{13}$') THEN TRY_CAST(t AS BIGINT) * 1000
+                              ELSE epoch_us(TRY_CAST(replace(regexp_extract(t, '^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?)', 1), 'T', ' ') AS TIMESTAMP))
+                                   - coalesce(TRY_CAST(regexp_extract(t, '([+-])(\d\d):(\d\d)$', 1) || '1' AS BIGINT) * (TRY_CAST(regexp_extract(t, '[+-](\d\d):(\d\d)$', 1) AS BIGINT) * 60 + TRY_CAST(regexp_extract(t, '[+-](\d\d):(\d\d)$', 2) AS BIGINT)) * 60000000, 0) END AS tm FROM p),
+            k AS (SELECT c FROM q GROUP BY c HAVING bool_and(coalesce(role IS NOT NULL AND tm IS NOT NULL AND length(regexp_replace(s, '[\s\p{Z}\p{C}]', '', 'g')) > 0, false))),
+            g AS (SELECT q.* FROM q WHERE c IN (SELECT c FROM k) AND c IN (SELECT id FROM conversations)),
+            dp(id, depth) AS (SELECT a.id, 0 FROM g a LEFT JOIN g b ON b.c = a.c AND b.tm = a.tm AND b.id = a.reply WHERE b.id IS NULL
+                              UNION ALL SELECT a.id, d.depth + 1 FROM dp d JOIN g b ON b.id = d.id JOIN g a ON a.c = b.c AND a.tm = b.tm AND a.reply = b.id),
+            l AS (SELECT g.*, depth, lag(role) OVER w AS lr, lag(s) OVER w AS ls FROM g JOIN dp USING (id) WINDOW w AS (PARTITION BY c ORDER BY tm, depth, id)),
+            u AS (SELECT *, CASE role WHEN 'system' THEN lr IS NULL OR lr = 'system' WHEN 'user' THEN lr IS NULL OR lr IN ('system', 'assistant') ELSE lr = 'user' END AS good FROM l WHERE lr IS NULL OR NOT (lr = role AND ls = s)),
+            f AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY tm, depth, id) AS n, last_value(role) OVER (PARTITION BY c ORDER BY tm, depth, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lastr,
+                         min(CASE WHEN coalesce(good, false) THEN 1 ELSE 0 END) OVER (PARTITION BY c) AS ok FROM u)
+            SELECT c AS conversation_id, CAST(n - 1 AS INTEGER) AS turn_no, id AS message_id, role FROM f WHERE ok = 1 AND lastr = 'assistant'""",
         "p9_found": f"""
             WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
             ds AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
