@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import ABBREVIATION, clean_text, raw_words, sentences
@@ -256,6 +256,6 @@ def chunker(name: str):
 
 
 def first_seen(rows: DataFrame, text: str, order: list) -> DataFrame:
-    """Rows without those whose cleaned text came before."""
-    w = Window.partitionBy(F.sha2(clean_text(F.col(text)), 256)).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Rows without those whose cleaned text came before; a group of copies is reduced before it is shuffled."""
+    kept = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.sha2(clean_text(F.col(text)), 256).alias("_h")).agg(kept.alias("_r")).select("_r.*")

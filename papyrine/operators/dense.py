@@ -200,7 +200,7 @@ def ivf_lists(vectors: DataFrame, lists: int = 16, key: str = "doc_id", vector:
     return _coded(vectors, vector, "_b", [c]).withColumn("bucket", F.col("_b")[0]).drop("_b"), c
 
 
-def ivf_search(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def ivf_search(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 12, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """(qid, key, score, rnk) over the ``probes`` lists nearest to each query."""
     if len(centroids) == 1:
         return cosine_top_k(indexed, queries, k, key, vector)

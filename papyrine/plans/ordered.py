@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _names(cols) -> list[str]:
-    return list(cols)
-
-
 def lag_across(df: DataFrame, group: list[str], chunk: str, order: list[str], cols: list[str], to: str) -> DataFrame:
     """Adds struct ``to``: ``cols`` of the row before in the group's whole order, null for the first row."""
     inside = Window.partitionBy(*group, chunk).orderBy(*order)
@@ -33,3 +29,12 @@ def running_sum(df: DataFrame, group: list[str], chunk: str, order: list[str], f
     before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carry = total.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     return here.join(carry, [*group, chunk], "left").withColumn(to, F.col("_sum") + F.col("_carry")).drop("_flag", "_sum", "_carry")
+
+
+def dense_index(df: DataFrame, to: str) -> DataFrame:
+    """Adds ``to``: row numbers from 0 in the order of the partitions, without bringing the rows together."""
+    i = df.withColumn("_id", F.monotonically_increasing_id())
+    i = i.withColumn("_p", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    size = i.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = size.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return i.join(before, "_p").withColumn(to, F.col("_at") + F.col("_before")).drop("_id", "_p", "_at", "_before")

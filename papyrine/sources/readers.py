@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrine.plans.ordered import dense_index
+
 EXTENSIONS = (".txt", ".docx", ".pdf", ".md", ".csv", ".xlsx")
 #: Decoders of binary formats by extension; others are plugged in with ``register_decoder``.
 _DECODERS: dict[str, Callable[[bytes], list[tuple[int, str, str]]]] = {}
@@ -101,7 +103,7 @@ def csv_blocks(spark: SparkSession, path: str, size: int = 25) -> DataFrame:
     from papyrine.operators.chunking import row_blocks
 
     t = spark.read.csv(path, header=True)
-    return row_blocks(t.withColumn("_i", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1), "_i", t.columns, size)
+    return row_blocks(dense_index(t, "_i"), "_i", t.columns, size)
 
 
 def chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
