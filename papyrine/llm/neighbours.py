@@ -22,6 +22,8 @@ from papyrine.plans.layout import cut
 GROUPS, TREES, BITS = 6, 12, 32
 #: A partition of a group holds about this many vectors; its prefix is as long as that takes.
 PARTITION = 16_384
+#: Bits by which a crowded prefix may grow.
+DEEPER = 16
 #: A query's block in a tree has at most this many vectors, and it ascends while it has fewer than LEAST.
 BLOCK, LEAST = 512, 96
 #: Equal vectors stand as one; so many of the smallest ids are kept, which is all that k = 10 can use.
@@ -139,29 +141,39 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     counts = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     prefix = {d: max(0, int(np.ceil(np.log2(max(1, n) / PARTITION)))) for d, n in counts.items()}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame], raw: bool = True) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for d, part in pdf.groupby("dim"):
                 x = np.stack(part["vector"].to_numpy()).astype(np.float32)
-                raw = [v.tobytes() for v in x]
+                p = prefix[int(d)]
                 for g in range(GROUPS):
-                    p = prefix[int(d)]
-                    bits = (x @ planes(int(d), g, 0, p).astype(np.float32) > 0).astype(np.int64) if p else np.zeros((len(x), 0), np.int64)
-                    yield pd.DataFrame({"dim": part["dim"].to_numpy(), "grp": g, "prefix": (bits << np.arange(p)).sum(1), "rep": part["rep"].to_numpy(), "raw": raw})
+                    bits = (x @ planes(int(d), g, 0, p + DEEPER).astype(np.float32) > 0).astype(np.int64)
+                    code = (bits << np.arange(p + DEEPER - 1, -1, -1)).sum(1)
+                    out = pd.DataFrame({"dim": part["dim"].to_numpy(), "grp": g, "prefix": code >> DEEPER, "deeper": code & ((1 << DEEPER) - 1), "rep": part["rep"].to_numpy()})
+                    if raw:
+                        out["raw"] = [v.tobytes() for v in x]
+                    yield out
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         d, g = int(pdf["dim"].iloc[0]), int(pdf["grp"].iloc[0])
         x = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(len(pdf), d).astype(np.float64)
-        ids = pdf["rep"].to_numpy()
-        out = []
-        # A prefix that very many vectors share is searched in parts of sorted strings, so a task's memory is bounded.
-        for lo in range(0, len(x), 4 * PARTITION):
-            a, b, c = search_partition(ids[lo : lo + 4 * PARTITION], x[lo : lo + 4 * PARTITION], g, k)
-            out.append(pd.DataFrame({"a": a, "b": b, "similarity": c}))
-        return pd.concat(out)
-
-    placed = reps.select("dim", "rep", "vector").mapInPandas(place, "dim int, grp int, prefix long, rep long, raw binary")
-    found = placed.groupBy("dim", "grp", "prefix").applyInPandas(search, "a long, b long, similarity double")
+        a, b, c = search_partition(pdf["rep"].to_numpy(), x, g, k)
+        return pd.DataFrame({"a": a, "b": b, "similarity": c})
+
+    columns = "dim int, grp int, prefix long, deeper long, rep long"
+    key = ["dim", "grp", "prefix"]
+    plain = reps.select("dim", "rep", "vector")
+    # Where many vectors share a prefix it grows by the bits that bring its parts down to size again.
+    codes = plain.mapInPandas(lambda batches: place(batches, False), columns)
+    crowded = codes.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 2 * PARTITION)
+    grown = cut(crowded.select(*key, F.least(F.lit(DEEPER), F.ceil(F.log2(F.col("n") / PARTITION)).cast("int")).alias("more")))
+    longer = lambda df: df.join(grown, key, "left").withColumn("sub", F.coalesce(F.expr("shiftright(deeper, %d - more)" % DEEPER), F.lit(0).cast("long")))
+    # What stays crowded are vectors of nearly one direction, most of which are within any k best of each other.
+    still = longer(codes).groupBy(*key, "sub").agg(F.count("*").alias("n")).where(F.col("n") > 4 * PARTITION)
+    still = cut(still.select(*key, "sub", F.ceil(F.col("n") / (2 * PARTITION)).cast("int").alias("parts")))
+    placed = longer(plain.mapInPandas(place, columns + ", raw binary")).join(still, [*key, "sub"], "left")
+    placed = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(0).cast("long")))
+    found = placed.select("dim", "grp", "prefix", "sub", "part", "rep", "raw").groupBy(*key, "sub", "part").applyInPandas(search, "a long, b long, similarity double")
     best = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     near = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.round("similarity", 12).desc(), "b"))).where(F.col("r") <= k).drop("r")
     near = near.unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))

@@ -201,6 +201,17 @@ def test_neighbours_recall(spark, monkeypatch):
     assert np.mean([len(got[i] & set(top[i])) / 10 for i in range(4000)]) >= 0.9
 
 
+def test_crowded_prefixes_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PARTITION", 64)
+    rng = np.random.default_rng(6)
+    x = np.r_[1.0 + 1e-4 * rng.standard_normal((700, 64)), rng.standard_normal((300, 64))].astype(np.float32)
+    got = {}
+    for r in neighbours.nearest(vecs(spark, [(i, v.tolist(), 64) for i, v in enumerate(x)])).collect():
+        got.setdefault(r.vec_id, []).append(r)
+    assert set(got) == set(range(1000)) and all(len(v) == 10 for i, v in got.items() if i < 700)
+    assert all(r.similarity > 0.999999 for i, v in got.items() if i < 700 for r in v)
+
+
 # -- 6 -------------------------------------------------------------------------------------------
 
 MSG = "id string, conversation_id string, role string, content string, created_at string, metadata string, received_at timestamp, rows long, depth string, chunk string"
