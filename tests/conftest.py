@@ -5,6 +5,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
+import pandas as pd  # noqa: E402
 import pytest  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
@@ -44,7 +45,7 @@ def canonical(pdf):
     """Rows of a frame as sorted tuples of strings, for comparing engines."""
 
     def text(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return "null"
         if isinstance(x, float) and x == int(x) and abs(x) < 1e15:
             return str(int(x))
