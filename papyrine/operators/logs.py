@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.plans.layout import spread
+from papyrine.plans.layout import cut
 
 try:
     import ahocorasick
@@ -234,7 +234,7 @@ def parse_lines(logs: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("message", "level", "component", F.col("timestamp").cast("string").alias("timestamp")), F.struct("indexed_at", "log_id")).alias("r"))
         .select("logfile", F.col("line_no").cast("long").alias("line_no"), "r.message", "r.level", "r.component", "r.timestamp")
     )
-    return spread(once).mapInPandas(_parse_batches, "logfile string, line_no long, kind int, f_level string, f_component string, f_ms long, f_text string")
+    return once.mapInPandas(_parse_batches, "logfile string, line_no long, kind int, f_level string, f_component string, f_ms long, f_text string")
 
 
 def _with_entries(lines: DataFrame) -> DataFrame:
@@ -264,7 +264,9 @@ def log_entries(logs: DataFrame, with_message: bool = True) -> DataFrame:
     belong to no entry. An entry's message is its header's message and the lines that
     follow, joined by line ends; other columns are ignored.
     """
-    lines = _with_entries(parse_lines(logs)).where("first_line is not null")
+    parsed = parse_lines(logs)
+    # Written once, as the lines meet the summaries of their own blocks below.
+    lines = _with_entries(cut(parsed if with_message else parsed.drop("f_text"))).where("first_line is not null")
     # Fields stand in the header, or in the lines of a JSON record that a brace starts.
     head = F.col("line_no") == F.col("first_line")
     json_part = F.col("kind") == 3

@@ -32,7 +32,14 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Repartitions an input with fewer partitions than cores; larger inputs pass without a shuffle."""
+    """Repartitions a scan with fewer partitions than cores; larger inputs pass without a shuffle.
+
+    Only scans are looked at: to count the partitions behind a shuffle, adaptive execution
+    would have to run it.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Repartition", "Aggregate", "Join", "Window", "Sort", "Distinct", "Limit")):
+        return df
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 

@@ -127,6 +127,16 @@ _LINKS = """lk AS (SELECT a, b FROM cp UNION SELECT r.doc_id AS a, hs.doc_id AS
     comp AS (SELECT x AS doc_id, min(y) AS cluster_id FROM reach GROUP BY x)"""
 
 
+def _guessed() -> str:
+    from papyrine.functions.text import FUNCTION_WORDS
+
+    order = ["en", *sorted(k for k in FUNCTION_WORDS if k != "en")]
+    rows = ", ".join(f"({i}, '{k}', [{', '.join(repr(w) for w in FUNCTION_WORDS[k])}])" for i, k in enumerate(order))
+    return rf"""WITH l AS (SELECT * FROM (VALUES {rows}) v(i, k, ws)), t AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 500)), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+        c AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_filter(w, lambda x: list_contains(ws, x))) DESC, i) AS r FROM t CROSS JOIN l)
+        SELECT doc_id, k AS language FROM c WHERE r = 1"""
+
+
 def _audit() -> str:
     from papyrine.functions.text import QUERY_PHRASES
 
@@ -333,6 +343,12 @@ def oracle_sql() -> dict[str, str]:
     sql["vector_norms"] = "SELECT vec_id, stored_at, round(n, 5) AS norm FROM (SELECT vec_id, stored_at, CASE WHEN len(vector) = 0 THEN 0.0 ELSE sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) END AS n FROM vectors WHERE vector IS NOT NULL) WHERE n IS NOT NULL AND NOT isnan(n) AND n < 1e30"
     sql["questions_to_corpus"] = """WITH q AS (SELECT md5(question) AS qid, from_json(contexts, '["VARCHAR"]') AS ds FROM evaluations WHERE question IS NOT NULL), e AS (SELECT qid, md5(unnest(ds)) AS doc_id FROM q)
         SELECT DISTINCT 'corpus' AS part, doc_id AS id FROM e WHERE doc_id IS NOT NULL UNION ALL SELECT DISTINCT 'query', qid FROM q UNION ALL SELECT DISTINCT 'judgement', qid || '/' || doc_id FROM e WHERE doc_id IS NOT NULL"""
+    sql["guessed_language"] = _guessed()
+    sql["enriched_chunks"] = rf"""WITH t AS (SELECT doc_id, {sentences('text')} AS s, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+        d AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(w) AS x FROM t) WHERE length(x) >= 5), k AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY length(x) DESC, x) AS r FROM d),
+        g AS (SELECT doc_id, string_agg(x, ',' ORDER BY r) AS keywords FROM k WHERE r <= 5 GROUP BY doc_id)
+        SELECT t.doc_id, md5(s[1]) AS summary_md5, coalesce(keywords, '') AS keywords, CASE WHEN len(w) < 100 THEN 'short' WHEN len(w) < 400 THEN 'medium' ELSE 'long' END AS category,
+        round(least(5.0, len(w) / 100.0::DOUBLE), 4) AS score FROM t LEFT JOIN g USING (doc_id)"""
     sql["audit_export"] = _audit()
     sql["p7_found"] = _log_entries()
     sql["citations"] = f"""WITH {bm25()}, rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rnk FROM sc)
