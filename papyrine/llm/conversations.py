@@ -121,7 +121,7 @@ def rebuild_conversations(messages: DataFrame, conversations: DataFrame | None =
     good = (
         F.when(F.col("role") == "system", before.isin("start", "system")).when(F.col("role") == "user", before.isin("start", "system", "assistant")).otherwise(before == "user")
     )
-    m = m.withColumn("good", good.cast("int")).drop("p", "said", "said2")
+    m = cut(m.withColumn("good", good.cast("int")).drop("p", "said", "said2"))
     kept = m.groupBy("conversation_id", "session_no").agg(F.min("good").alias("good"), F.max_by("role", F.struct(*order)).alias("last")).where("good = 1 and last = 'assistant'")
     m = m.drop("good").join(kept.select("conversation_id", "session_no"), ["conversation_id", "session_no"], "left_semi")
     out = running_sum(m, ["conversation_id", "session_no"], "chunk", order, F.lit(1), "turn_no")
