@@ -356,8 +356,13 @@ def oracle_sql() -> dict[str, str]:
     sql["date_range"] = "SELECT doc_id, strftime(created_at, '%Y-%m-%d') AS day FROM documents WHERE created_at >= TIMESTAMP '2025-03-01' AND created_at < TIMESTAMP '2025-04-01'"
     sql["query_scrub"] = "SELECT id, sha256(question) AS question_hash FROM evaluations"
     sql["sanitized_input"] = "SELECT id, md5(CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '...' ELSE t END) AS contexts_md5 FROM (SELECT id, replace(replace(contexts, chr(10), ' '), chr(13), ' ') AS t FROM evaluations)"
-    sql["chat_template"] = """WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at) AS n FROM messages WHERE conversation_id IS NOT NULL AND role IS NOT NULL AND content IS NOT NULL) WHERE n = 1)
-        SELECT conversation_id, md5(string_agg('<|im_start|>' || lower(trim(role)) || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY received_at, id) || CASE WHEN last(lower(trim(role)) ORDER BY received_at, id) = 'user' THEN '<|im_start|>assistant' || chr(10) ELSE '' END) AS prompt_md5, CAST(count(*) AS INTEGER) AS n FROM m GROUP BY conversation_id"""
+    sql["chat_template"] = """WITH o AS (SELECT conversation_id AS c, lower(trim(role)) AS r, content AS t, received_at AS ra, id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at) AS n FROM messages WHERE conversation_id IS NOT NULL AND role IS NOT NULL AND content IS NOT NULL) WHERE n = 1),
+        m AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY c ORDER BY ra, id), '') AS p FROM o),
+        e AS (SELECT c, ra, id, r, '<|start_header_id|>' || r || '<|end_header_id|>' || chr(10) || chr(10) || t || '<|eot_id|>' AS a, '<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10) AS b,
+            CASE r WHEN 'system' THEN '[INST] ' || t || chr(10) || chr(10) WHEN 'user' THEN CASE WHEN p = 'system' THEN '' ELSE '[INST] ' END || t || ' [/INST]' WHEN 'assistant' THEN ' ' || t || '</s>' ELSE '' END AS d FROM m)
+        SELECT c AS conversation_id, md5('<|begin_of_text|>' || string_agg(a, '' ORDER BY ra, id) || CASE WHEN last(r ORDER BY ra, id) = 'user' THEN '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) ELSE '' END) AS llama3_md5,
+            md5('<s>' || string_agg(d, '' ORDER BY ra, id)) AS mistral_md5, md5(string_agg(b, '' ORDER BY ra, id) || CASE WHEN last(r ORDER BY ra, id) = 'user' THEN '<|im_start|>assistant' || chr(10) ELSE '' END) AS chatml_md5, CAST(count(*) AS INTEGER) AS n FROM e GROUP BY c"""
+    sql["question_contexts"] = """SELECT id, md5('Context:' || chr(10) || array_to_string(from_json(contexts, '["VARCHAR"]'), chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || question) AS message_md5 FROM evaluations WHERE question IS NOT NULL"""
     sql["chunk_id_migration"] = "SELECT id, new_id FROM (SELECT id, regexp_replace(coalesce(source, 'none'), '[^A-Za-z0-9._:-]', '_', 'g') || '_p' || (doc_id % 7) || '_chunk_' || doc_id AS new_id FROM documents) WHERE id <> new_id"
     sql["sanitize_ids"] = "SELECT DISTINCT logfile, regexp_matches(logfile, '^[A-Za-z0-9_.:-]+$') AS valid, regexp_replace(logfile, '[^A-Za-z0-9._:-]', '_', 'g') AS clean FROM logs_fts"
     sql["metadata_values"] = "SELECT client, count(*) AS n FROM (SELECT json_extract_string(metadata, '$.client') AS client FROM messages) WHERE client IN ('cli', 'api') GROUP BY client"

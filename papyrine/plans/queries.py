@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.functions import stemming, text
+from papyrine.functions import stemming, templates, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, logs, rerank, routing, scaffold, sparse
 from papyrine.plans.layout import cut, spread, table
 from papyrine.sources import readers, writers
@@ -641,10 +641,16 @@ def sanitized_input(spark, d):
 def chat_template(spark, d):
     """Each conversation as one prompt, messages in order of arrival."""
     m = table(spark, d, "messages").where("conversation_id is not null and role is not null and content is not null").dropDuplicates(["id"])
-    part = F.concat(F.lit("<|im_start|>"), F.lower(F.trim("role")), F.lit("\n"), F.col("content"), F.lit("<|im_end|>\n"))
-    g = m.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("received_at", "id", part.alias("p"), F.lower(F.trim("role")).alias("r")))).alias("ms"))
-    tail = F.when(F.element_at("ms", -1)["r"] == "user", "<|im_start|>assistant\n").otherwise("")
-    return g.select("conversation_id", F.md5(F.concat(F.array_join(F.transform("ms", lambda x: x["p"]), ""), tail)).alias("prompt_md5"), F.size("ms").alias("n"))
+    row = F.struct("received_at", "id", F.lower(F.trim("role")).alias("role"), "content")
+    g = m.groupBy("conversation_id").agg(F.array_sort(F.collect_list(row)).alias("ms"))
+    prompts = [F.md5(templates.render(F.col("ms"), k)).alias(f"{k}_md5") for k in ("llama3", "mistral", "chatml")]
+    return g.select("conversation_id", *prompts, F.size("ms").alias("n"))
+
+
+@query
+def question_contexts(spark, d):
+    e = table(spark, d, "evaluations").where("question is not null").select("id", "question", F.from_json("contexts", "array<string>").alias("c"))
+    return e.select("id", F.md5(templates.user_message(templates.context_of(F.col("c")), F.col("question"))).alias("message_md5"))
 
 
 @query

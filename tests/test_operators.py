@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyrine.functions import stemming, text
+from papyrine.functions import stemming, templates, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, graph, rerank, routing, scaffold, sparse
 from papyrine.plans.ordered import lag_across, running_sum
 
@@ -189,3 +189,19 @@ def test_delete_cascade(spark):
 def test_scaffold_of_empty(spark):
     c = spark.createDataFrame([], "doc_id int, source string, summary string, keywords array<string>, category string, n int")
     assert scaffold.roll_up(scaffold.sequential_groups(c, "source", "doc_id"), ["source", "grp"], "doc_id", "summary", "keywords", "category", "n").count() == 0
+
+
+def test_prompts(spark):
+    m = spark.createDataFrame([([("system", "be nice"), ("user", "hi"), ("assistant", "hello"), ("user", "more")],), ([],)], "ms array<struct<role:string,content:string>>")
+    got = m.select(*[templates.render(F.col("ms"), k).alias(k) for k in templates.STYLES]).collect()
+    assert got[0].mistral == "<s>[INST] be nice\n\nhi [/INST] hello</s>[INST] more [/INST]"
+    assert got[0].chatml.endswith("<|im_start|>user\nmore<|im_end|>\n<|im_start|>assistant\n")
+    assert got[0].default == "System: be nice\n\nUser: hi\n\nAssistant: hello\n\nUser: more\n\nAssistant: "
+    assert got[0].llama3.startswith("<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\nbe nice<|eot_id|>") and got[1].mistral == "<s>"
+    with pytest.raises(ValueError):
+        templates.render(F.col("ms"), "none")
+
+
+def test_ids_of_metadata(spark):
+    r = spark.range(1).select(templates.known_id(F.lit(""), F.lit(None), F.lit("x")).alias("a"), templates.first_with_id(F.expr("array(named_struct('id', cast(null as string)), named_struct('id', 'q'))"))["id"].alias("b"), templates.context_of(F.array(F.lit("a"), F.lit(None), F.lit("b"))).alias("c")).first()
+    assert (r.a, r.b, r.c) == ("x", "q", "a\n\nb")
