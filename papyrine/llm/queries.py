@@ -113,7 +113,7 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": r"""
-            SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '\S{1000}\S{1000}\S') THEN 1 ELSE 0 END AS INTEGER) AS forced
+            SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '[^\s\x{85}\p{Z}]{1000}[^\s\x{85}\p{Z}]{1000}[^\s\x{85}\p{Z}]') THEN 1 ELSE 0 END AS INTEGER) AS forced
             FROM documents WHERE length(text) > 2000""",
         "p4_found": f"""
             WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),

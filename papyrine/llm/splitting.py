@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: White space as Unicode has it, and anything else.
+WHITE, SOLID = r"[\s\x85\p{Z}]", r"[^\s\x85\p{Z}]"
 #: Boundaries by strength: name and what the last characters of a piece must match.
-BOUNDARIES = (("paragraph", r"(?<=\n[ \t\r]{0,8}\n)"), ("sentence", r"(?<=[.!?…]['\"”’»)\]]{0,3}\s)"), ("line", r"(?<=\n)"), ("space", r"(?<=\s)"))
+BOUNDARIES = (("paragraph", r"(?<=\n[ \t\r]{0,8}\n)"), ("sentence", rf"(?<=[.!?…]['\"”’»)\]]{{0,3}}{WHITE})"), ("line", r"(?<=\n)"), ("space", rf"(?<={WHITE})"))
 
 
 def split_pattern(limit: int, overlap: int) -> str:
@@ -24,10 +26,10 @@ def split_pattern(limit: int, overlap: int) -> str:
     room, least = limit - overlap, (limit - overlap) // 2
     rest = rf".{{1,{room}}}\z"
     strong = [rf".{{{least},{room}}}{b}" for _, b in BOUNDARIES]
-    weak = rf".{{1,{room}}}(?<=\s)"
-    run = rf"\S{{{room},{limit}}}(?=\s|\z)"
+    weak = rf".{{1,{room}}}(?<={WHITE})"
+    run = rf"{SOLID}{{{room},{limit}}}(?={WHITE}|\z)"
     # The end of a run of exactly the limit keeps its one following space outside.
-    return "(?s)" + "|".join([rest, *strong, weak, run, rf"\S{{{limit}}}", rf".{{1,{room}}}"])
+    return "(?s)" + "|".join([rest, *strong, weak, run, rf"{SOLID}{{{limit}}}", rf".{{1,{room}}}"])
 
 
 def split_pieces(documents: DataFrame, limit: int = 2000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,18 +49,18 @@ def split_pieces(documents: DataFrame, limit: int = 2000, overlap: int = 200, ke
     each = parts.select("_key", "_text", ends.alias("_ends"), F.posexplode("_parts").alias("piece_no", "_part"))
     last = F.col("piece_no") == F.size("_ends") - 1
     boundary = F.when(last, "end")
-    for name, tail in (("paragraph", r"\n[ \t\r]*\n\s?$"), ("sentence", r"[.!?…]['\"”’»)\]]{0,3}\s$"), ("line", r"\n$"), ("space", r"\s$")):
+    for name, tail in (("paragraph", r"\n[ \t\r]*\n\z"), ("sentence", rf"[.!?…]['\"”’»)\]]{{0,3}}{WHITE}\z"), ("line", r"\n\z"), ("space", rf"{WHITE}\z")):
         boundary = boundary.when(F.col("_part").rlike(tail), name)
     # A run that needed the whole limit ends before white space.
     following = F.expr("substring(_text, element_at(_ends, piece_no + 1) + 1, 1)")
-    boundary = boundary.when(following.rlike(r"^\s"), "space").otherwise("char")
+    boundary = boundary.when(following.rlike(f"^{WHITE}"), "space").otherwise("char")
     size = F.char_length("_part")
     start = F.expr("element_at(_ends, piece_no + 1)") - size
     back = F.least(start, F.lit(overlap), F.lit(limit) - size)
     before = F.expr("substring(_text, _start - _back, _back + 1)")
     # One character more than the overlap shows whether the overlap begins inside a word.
-    trimmed = F.when(F.col("_back") == 0, "").when(F.col("_before").rlike(r"^\s") | (F.col("_start") == F.col("_back")), F.expr("right(_before, _back)")).when(
-        F.expr("substring(_before, 2)").rlike(r"\s\S"), F.regexp_replace(F.col("_before"), r"^\S+\s+", "")
+    trimmed = F.when(F.col("_back") == 0, "").when(F.col("_before").rlike(f"^{WHITE}") | (F.col("_start") == F.col("_back")), F.expr("right(_before, _back)")).when(
+        F.expr("substring(_before, 2)").rlike(WHITE + SOLID), F.regexp_replace(F.col("_before"), f"^{SOLID}+{WHITE}+", "")
     ).otherwise(F.expr("right(_before, _back)"))
     out = (
         each.withColumn("boundary", boundary)
