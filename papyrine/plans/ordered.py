@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.plans.layout import cut
+
+#: Rows of a group that one window partition of ``rolling_mean`` holds, besides those it looks back on.
+BLOCK = 50_000
+
 
 def lag_across(df: DataFrame, group: list[str], chunk: str, order: list[str], cols: list[str], to: str) -> DataFrame:
     """Adds struct ``to``: ``cols`` of the row before in the group's whole order, null for the first row."""
@@ -38,3 +43,19 @@ def dense_index(df: DataFrame, to: str) -> DataFrame:
     size = i.groupBy("_p").agg(F.count("*").alias("_n"))
     before = size.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return i.join(before, "_p").withColumn(to, F.col("_at") + F.col("_before")).drop("_id", "_p", "_at", "_before")
+
+
+def by_range(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Adds ``chunk``: the range that a row falls in by group and order, so that a group of any size is in many."""
+    return cut(df.repartitionByRange(*group, *order).withColumn("chunk", F.spark_partition_id()))
+
+
+def rolling_mean(df: DataFrame, group: list[str], order: list[str], value: str, n: int, to: str) -> DataFrame:
+    """Adds ``to``: the mean of ``value`` over the last ``n`` rows of the group. ``order`` must tell all rows apart."""
+    i = running_sum(by_range(df, group, order), group, "chunk", order, F.lit(1), "_i")
+    block = F.floor((F.col("_i") - 1) / BLOCK)
+    # The last rows of a block are looked back on by the next one.
+    seen = F.when((F.col("_i") - 1) % BLOCK >= BLOCK - (n - 1), F.array(block, block + 1)).otherwise(F.array(block))
+    w = Window.partitionBy(*group, "_b").orderBy("_i").rowsBetween(-(n - 1), 0)
+    out = i.withColumn("_b", F.explode(seen)).withColumn(to, F.avg(value).over(w))
+    return out.where(F.col("_b") == block).drop("_b", "_i", "chunk")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions import stemming, templates, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, logs, rerank, routing, scaffold, sparse
 from papyrine.plans.layout import cut, spread, table
+from papyrine.plans.ordered import rolling_mean
 from papyrine.sources import readers, writers
 
 REGISTRY: dict = {}
@@ -528,8 +529,8 @@ def latency_percentiles(spark, d):
 
 @query
 def rolling_latency_100(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return table(spark, d, "events").select("event_id", "event_type", _r(F.avg("value").over(w), 9).alias("rolling"))
+    e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return rolling_mean(e, ["event_type"], ["ts", "event_id"], "value", 100, "m").select("event_id", "event_type", _r("m", 9).alias("rolling"))
 
 
 @query

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import stemming, templates, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, graph, rerank, routing, scaffold, sparse
+from papyrine.plans import ordered
 from papyrine.plans.ordered import lag_across, running_sum
 
 
@@ -205,3 +206,12 @@ def test_prompts(spark):
 def test_ids_of_metadata(spark):
     r = spark.range(1).select(templates.known_id(F.lit(""), F.lit(None), F.lit("x")).alias("a"), templates.first_with_id(F.expr("array(named_struct('id', cast(null as string)), named_struct('id', 'q'))"))["id"].alias("b"), templates.context_of(F.array(F.lit("a"), F.lit(None), F.lit("b"))).alias("c")).first()
     assert (r.a, r.b, r.c) == ("x", "q", "a\n\nb")
+
+
+def test_rolling_mean_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK", 10)
+    rows = [("a", i, float(i * i % 17)) for i in range(57)] + [("b", i, 1.0) for i in range(3)]
+    got = ordered.rolling_mean(spark.createDataFrame(rows, "g string, i int, v double"), ["g"], ["i"], "v", 7, "m").orderBy("g", "i").collect()
+    want = [np.mean([v for g2, j, v in rows if g2 == g and i - 7 < j <= i]) for g, i, _ in rows]
+    assert np.allclose([r.m for r in got], want)
+    assert ordered.rolling_mean(spark.createDataFrame([], "g string, i int, v double"), ["g"], ["i"], "v", 7, "m").count() == 0
