@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
-    at = os.path.join(tempfile.gettempdir(), "papyrine-checkpoint")
+    at = tempfile.mkdtemp(prefix="papyrine-checkpoint-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", at)
     return at
 
