@@ -106,7 +106,7 @@ def _statistics(encoded: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
     return n, x.get(-2, 0) / n if n else 0.0, np.array([x.get(i, 0) for i in range(size)], np.float64)
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, avgdl: float | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, avgdl: float | None = None, allowed: DataFrame | None = None, weighting: str = "bm25") -> DataFrame:
     """(qid, key, rnk, score, sim): the k best of all documents for each of a stated set of queries, positive scores only.
 
     The result is that of ``bm25_scores``. Documents are scored in batches against blocks
@@ -135,7 +135,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
         weights = np.zeros((len(vocabulary), len(part)))
         for j, q in enumerate(part):
             for t, qf in per[q]:
-                weights[t, j] = qf * idf[t]
+                weights[t, j] = qf * idf[t] if weighting == "bm25" else np.log1p(qf)
         held = spark.sparkContext.broadcast((part, weights, mean))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -150,7 +150,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
                     t, tf = np.frombuffer(b"".join(p["ids"]), np.int32), np.frombuffer(b"".join(p["tfs"]), np.int32)
                     rows_ = np.repeat(np.arange(len(p)), sizes)
                     dl = p["dl"].to_numpy()[rows_]
-                    w = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / mean))
+                    w = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / mean)) if weighting == "bm25" else np.log1p(tf)
                     dense = np.zeros((len(p), len(weights)))
                     dense[rows_, t] = w
                     s = (dense @ weights).T

@@ -210,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
         FROM eq JOIN ea USING (id, term) LEFT JOIN df USING (term) CROSS JOIN st GROUP BY id"""
     sql["sparse_dot_topk"] = f"""WITH {bm25()}, s2 AS (SELECT q.qid, t.doc_id, sum(ln(1.0::DOUBLE + q.qf) * ln(1.0::DOUBLE + t.tf)) AS score FROM qt q JOIN tf t ON q.term = t.term GROUP BY 1, 2)
         SELECT qid, doc_id, rnk, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rnk FROM s2) WHERE rnk <= 10"""
+    sql["sparse_dot_totals"] = f"""WITH {bm25()}, s2 AS (SELECT q.qid, t.doc_id, sum(ln(1.0::DOUBLE + q.qf) * ln(1.0::DOUBLE + t.tf)) AS score FROM qt q JOIN tf t ON q.term = t.term GROUP BY 1, 2) SELECT qid, count(*) AS n, round(sum(score), 3) AS total FROM s2 GROUP BY qid"""
     sql["dense_topk"] = f"WITH {dense(STATED)} SELECT qid, doc_id, rnk, score FROM dn"
     sql["dense_filtered"] = f"WITH {dense(STATED, '(SELECT * FROM embeddings WHERE label IN (1, 2, 3))')} SELECT qid, doc_id, rnk, score FROM dn"
     sql["ann_hot_cold_merge"] = f"""WITH {dense(STATED)}, t AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings)

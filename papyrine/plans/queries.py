@@ -118,9 +118,14 @@ def bm25_adhoc_score(spark, d):
 
 @query
 def sparse_dot_topk(spark, d):
+    return sparse.search(_docs(spark, d), _items(spark, d), weighting="log").drop("sim")
+
+
+@query
+def sparse_dot_totals(spark, d):
+    """Products of sparse vectors as rows, summed for each item."""
     q = sparse.query_terms(_items(spark, d)).select("qid", "term", F.log1p("qf").alias("weight"))
-    found = sparse.top_k(sparse.sparse_dot(q, sparse.tf_weights(_docs(spark, d))), 10)
-    return found.select("qid", "doc_id", "rnk", _r("score").alias("score"))
+    return sparse.sparse_dot(q, sparse.tf_weights(_docs(spark, d))).groupBy("qid").agg(F.count("*").alias("n"), _r(F.sum("score"), 3).alias("total"))
 
 
 # -- dense retrieval ----------------------------------------------------------------------------
