@@ -29,6 +29,10 @@ BLOCK, LEAST = 512, 96
 #: Equal vectors stand as one; so many of the smallest ids are kept, which is all that k = 10 can use.
 K = 10
 SEED = 77
+#: Radius of a block below which all its cosines are 1 to 12 decimals, so that ids alone decide.
+FLAT = 4e-7
+#: Scores are cosines of 12 decimals and, below them, the place of an id; NONE is less than all of them.
+PLACES, NONE = 1 << 21, -(1 << 62)
 
 
 def planes(dim: int, group: int, tree: int, bits: int) -> np.ndarray:
@@ -53,15 +57,16 @@ def _same(vectors: DataFrame) -> DataFrame:
     return least.groupBy("dim", "h").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector"))
 
 
-def _top(sim: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-sim, k - 1, axis=1)[:, :k] if sim.shape[1] > k else np.tile(np.arange(sim.shape[1]), (len(sim), 1))
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    n = score.shape[1]
+    return np.argpartition(score, n - k, axis=1)[:, n - k :] if n > k else np.tile(np.arange(n), (len(score), 1))
 
 
 def _blocks(codes: np.ndarray) -> list[tuple[int, int]]:
     """Parts of a sorted array of codes: the largest prefixes of at most BLOCK members.
 
     A prefix with fewer than LEAST members takes its sibling's along, which is the ascent;
-    equal codes in greater number are cut into parts.
+    equal codes in greater number stay together, for the caller to divide.
     """
     out: list[tuple[int, int]] = []
     stack = [(0, len(codes), BITS - 1)]
@@ -70,7 +75,7 @@ def _blocks(codes: np.ndarray) -> list[tuple[int, int]]:
         if hi - lo <= BLOCK:
             out.append((lo, hi))
         elif bit < 0:
-            out += [(i, min(i + BLOCK, hi)) for i in range(lo, hi, BLOCK)]
+            out.append((lo, hi))
         else:
             at = lo + int(np.searchsorted((codes[lo:hi] >> np.uint64(bit)) & np.uint64(1), 1))
             if at - lo < LEAST or hi - at < LEAST:
@@ -86,43 +91,95 @@ def _blocks(codes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def search_partition(ids: np.ndarray, x: np.ndarray, group: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, cosine): candidates of every vector of a partition, the best of each by float products, then in double."""
-    dim, n = x.shape[1], len(x)
-    double = x / np.linalg.norm(x, axis=1, keepdims=True)
-    unit = double.astype(np.float32)
-    keep = k + 4
-    best = np.full((n, keep), -1, np.int64)
-    score = np.full((n, keep), -np.inf, np.float32)
-    order_ids = np.argsort(ids, kind="stable")
-    unit, ids, double = unit[order_ids], ids[order_ids], double[order_ids]
-    for tree in range(1, TREES + 1):
-        bits = (unit @ planes(dim, group, tree, BITS).astype(np.float32) > 0).astype(np.uint64)
-        codes = (bits << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(1)
+def _leaves(unit: np.ndarray, group: int, tree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of a tree to be compared: its blocks, each against itself.
+
+    Equal codes in greater number than BLOCK are written again, as seen from their mean,
+    until they differ. Vectors of one direction tie, so only the smallest ids are their
+    neighbours; what no bit divides is compared whole.
+    """
+    directions = planes(unit.shape[1], group, tree, BITS)
+    stack = [np.arange(len(unit))]
+    centred = False
+    while stack:
+        m = stack.pop()
+        x = unit[m]
+        if centred:
+            x = x - x.mean(0)
+            if np.einsum("ij,ij->i", x, x).max() < FLAT**2:
+                yield m, np.sort(m)[: K + 5]
+                continue
+        codes = ((x @ directions > 0).astype(np.uint64) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(1)
         order = np.argsort(codes, kind="stable")
         for lo, hi in _blocks(codes[order]):
-            m = order[lo:hi]
-            sim = unit[m] @ unit[m].T
-            np.fill_diagonal(sim, -np.inf)
-            t = _top(sim, keep)
-            _merge(best, score, m, m[t], np.take_along_axis(sim, t, 1), keep)
-    a, j = np.nonzero(best >= 0)
-    b = best[a, j]
-    cos = np.einsum("ij,ij->i", double[a], double[b])
-    return ids[a], ids[b], cos
-
-
-def _merge(best, score, rows, new, sim, keep):
+            part = m[order[lo:hi]]
+            if hi - lo <= BLOCK:
+                yield part, part
+            elif centred and hi - lo == len(m):
+                yield part, part
+            else:
+                stack.append(part)
+        centred = True
+
+
+class _Best:
+    """The ``k`` + 4 best candidates of each of some vectors, by cosine in double and then by id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.order = np.argsort(ids, kind="stable")
+        self.ids, x = ids[self.order], x[self.order]
+        if len(ids) >= PLACES:
+            raise ValueError("too many vectors in one partition")
+        self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.keep = k + 4
+        self.best = np.full((len(x), self.keep), -1, np.int64)
+        self.score = np.full((len(x), self.keep), NONE, np.int64)
+
+    def compare(self, rows: np.ndarray, columns: np.ndarray) -> None:
+        for i in range(0, len(rows), BLOCK):
+            r = rows[i : i + BLOCK]
+            for j in range(0, len(columns), 8 * BLOCK):
+                c = columns[j : j + 8 * BLOCK]
+                score = np.rint((self.unit[r] @ self.unit[c].T) * 1e12).astype(np.int64) * PLACES - c
+                score[r[:, None] == c] = NONE
+                t = _top(score, self.keep)
+                _merge(self.best, self.score, r, c[t], np.take_along_axis(score, t, 1), self.keep)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, j = np.nonzero(self.best >= 0)
+        b = self.best[a, j]
+        return self.ids[a], self.ids[b], np.einsum("ij,ij->i", self.unit[a], self.unit[b])
+
+
+def search_partition(ids: np.ndarray, x: np.ndarray, group: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine): the best candidates of every vector of a partition."""
+    found = _Best(ids, x, k)
+    for tree in range(1, TREES + 1):
+        for rows, columns in _leaves(found.unit, group, tree):
+            found.compare(rows, columns)
+    return found.pairs()
+
+
+def search_exact(ids: np.ndarray, x: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine): the best of all vectors of the other part, or of the same where there is one part."""
+    found = _Best(ids, x, k)
+    sides = [np.flatnonzero(part[found.order] == p) for p in np.unique(part)]
+    for rows, columns in zip(sides, sides[::-1]):
+        found.compare(rows, columns)
+    return found.pairs()
+
+
+def _merge(best, score, rows, new, s, keep):
     """Keeps the ``keep`` best different candidates of each row."""
     ids = np.concatenate([best[rows], new], 1)
-    s = np.concatenate([score[rows], sim.astype(np.float32)], 1)
+    s = np.concatenate([score[rows], s], 1)
     order = np.lexsort((-s, ids), axis=1)
     ids, s = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
-    s[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
-    s[ids < 0] = -np.inf
-    t = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+    s[:, 1:][ids[:, 1:] == ids[:, :-1]] = NONE
+    s[ids < 0] = NONE
+    t = _top(s, keep)
     s = np.take_along_axis(s, t, 1)
-    best[rows] = np.where(np.isneginf(s), -1, np.take_along_axis(ids, t, 1))
+    best[rows] = np.where(s == NONE, -1, np.take_along_axis(ids, t, 1))
     score[rows] = s
 
 
@@ -157,7 +214,8 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         d, g = int(pdf["dim"].iloc[0]), int(pdf["grp"].iloc[0])
         x = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(len(pdf), d).astype(np.float64)
-        a, b, c = search_partition(pdf["rep"].to_numpy(), x, g, k)
+        ids = pdf["rep"].to_numpy()
+        a, b, c = search_exact(ids, x, pdf["part"].to_numpy(), k) if pdf["parts"].iloc[0] else search_partition(ids, x, g, k)
         return pd.DataFrame({"a": a, "b": b, "similarity": c})
 
     columns = "dim int, grp int, prefix long, deeper long, rep long"
@@ -168,12 +226,14 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     crowded = codes.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 2 * PARTITION)
     grown = cut(crowded.select(*key, F.least(F.lit(DEEPER), F.ceil(F.log2(F.col("n") / PARTITION)).cast("int")).alias("more")))
     longer = lambda df: df.join(grown, key, "left").withColumn("sub", F.coalesce(F.expr("shiftright(deeper, %d - more)" % DEEPER), F.lit(0).cast("long")))
-    # What stays crowded are vectors of nearly one direction, most of which are within any k best of each other.
+    # What stays crowded is divided into parts of which every two meet, so all its pairs are compared.
     still = longer(codes).groupBy(*key, "sub").agg(F.count("*").alias("n")).where(F.col("n") > 4 * PARTITION)
-    still = cut(still.select(*key, "sub", F.ceil(F.col("n") / (2 * PARTITION)).cast("int").alias("parts")))
-    placed = longer(plain.mapInPandas(place, columns + ", raw binary")).join(still, [*key, "sub"], "left")
-    placed = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(0).cast("long")))
-    found = placed.select("dim", "grp", "prefix", "sub", "part", "rep", "raw").groupBy(*key, "sub", "part").applyInPandas(search, "a long, b long, similarity double")
+    still = cut(still.select(*key, "sub", F.ceil(F.col("n") / PARTITION).cast("int").alias("parts")))
+    placed = longer(plain.mapInPandas(place, columns + ", raw binary")).join(still, [*key, "sub"], "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    placed = placed.withColumn("part", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))))
+    placed = placed.select("dim", "grp", "prefix", "sub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "parts", "rep", "raw")
+    found = placed.groupBy(*key, "sub", "i", "j").applyInPandas(search, "a long, b long, similarity double")
     best = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     near = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.round("similarity", 12).desc(), "b"))).where(F.col("r") <= k).drop("r")
     near = near.unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))

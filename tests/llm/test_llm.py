@@ -212,6 +212,42 @@ def test_crowded_prefixes_are_divided(spark, monkeypatch):
     assert all(r.similarity > 0.999999 for i, v in got.items() if i < 700 for r in v)
 
 
+def _recall(x, found, rows):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u[rows] @ u.T, 12)
+    s[np.arange(len(rows)), rows] = -9
+    top = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    return np.mean([len(found[i] & set(t)) / 10 for i, t in zip(rows, top)])
+
+
+@pytest.mark.parametrize("spread", [1e-3, 1e-2, 1e-1])
+def test_tight_cluster_recall(spread):
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.standard_normal(64) + spread * rng.standard_normal((6000, 64)), rng.standard_normal((2000, 64))].astype(np.float32)
+    near = {}
+    for group in range(neighbours.GROUPS):
+        for a, b, c in zip(*neighbours.search_partition(np.arange(8000), x.astype(float), group, 10)):
+            near.setdefault(a, {})[b] = (-round(c, 12), b)
+    found = {a: {b for _, b in sorted(v.values())[:10]} for a, v in near.items()}
+    assert _recall(x, found, rng.choice(6000, 300, replace=False)) >= 0.9
+
+
+def test_one_direction_goes_by_id():
+    x = np.outer(1 + np.arange(2000) / 7, np.random.default_rng(9).standard_normal(32))
+    a, b, _ = neighbours.search_partition(np.arange(2000), x, 0, 10)
+    assert set(range(10)) <= set(b[a == 1999]) and set(range(10)) <= set(b[a == 1000])
+
+
+def test_crowded_prefix_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PARTITION", 128)
+    rng = np.random.default_rng(10)
+    x = (rng.standard_normal(64) + 1e-3 * rng.standard_normal((1500, 64))).astype(np.float32)
+    found = {}
+    for r in neighbours.nearest(vecs(spark, [(i, v.tolist(), 64) for i, v in enumerate(x)])).collect():
+        found.setdefault(r.vec_id, set()).add(r.neighbour)
+    assert _recall(x, found, np.arange(1500)) >= 0.9
+
+
 # -- 6 -------------------------------------------------------------------------------------------
 
 MSG = "id string, conversation_id string, role string, content string, created_at string, metadata string, received_at timestamp, rows long, depth string, chunk string"
