@@ -18,6 +18,12 @@ from papyrine.plans.layout import cut, spread
 #: Signature length, bands and rows of a band for a threshold of 0.8, and words of a shingle.
 PERMUTATIONS, BANDS, ROWS, SHINGLE = 117, 9, 13, 5
 PRIME = 2_147_483_647
+#: Verified pairs: the similarity, and bands that miss a pair at it with probability (1 - 0.8**4)**29 = 2e-7.
+SIMILAR, FINE_BANDS, FINE_ROWS = 0.8, 29, 4
+#: Agreeing minima of PERMUTATIONS below which a pair is not verified; one at SIMILAR has fewer with probability 2e-10.
+AGREE = 64
+#: Members of a bucket that are paired in one group; larger buckets are cut into blocks of this size.
+BLOCK = 256
 
 
 def permutation(i: int) -> tuple[int, int]:
@@ -66,14 +72,18 @@ def minhash(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     A shingle's base hash has 28 bits, so products stay in 64 bits.
     """
-    reps = representatives(documents, key, text).select(key, "xs")
+    return _sign(representatives(documents, key, text).select(key, "xs"), key).drop("h")
+
+
+def _sign(shingles: DataFrame, key: str) -> DataFrame:
+    """(key, h, signature) of rows (key, xs) that may have h."""
     a, b = (np.array(v, np.int64)[:, None] for v in zip(*map(permutation, range(PERMUTATIONS))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "signature": [((np.asarray(x, np.int64)[None, :] * a + b) % PRIME).min(1) for x in pdf["xs"]]})
+            yield pd.DataFrame({key: pdf[key], "h": pdf.get("h"), "signature": [((np.asarray(x, np.int64)[None, :] * a + b) % PRIME).min(1) for x in pdf["xs"]]})
 
-    return reps.mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, signature array<long>")
+    return shingles.mapInPandas(run, f"{key} {dict(shingles.dtypes)[key]}, h string, signature array<long>")
 
 
 def candidate_pairs(signatures: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -85,6 +95,62 @@ def candidate_pairs(signatures: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(least, ["band", "h"]).where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b")).distinct()
 
 
+def all_candidate_pairs(signatures: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(a, b), a < b: every two representatives that share one of FINE_BANDS bands."""
+    bands = F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * FINE_ROWS + 1, FINE_ROWS)) for k in range(FINE_BANDS)])
+    rows = cut(signatures.select(F.col(key).alias("id"), F.explode(bands).alias("band")))
+    large = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # Every two blocks of a bucket meet, so no group holds more than about two of them.
+    spot = rows.join(large, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spot = spot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spot = spot.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "id")).alias("m"))
+    one, two = F.filter("m", lambda x: x["block"] == F.col("i")), F.filter("m", lambda x: x["block"] == F.col("j"))
+    crossed = spot.select(F.explode(one).alias("x"), two.alias("ys")).select("x", F.explode("ys").alias("y")).where("x.id != y.id")
+    return crossed.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def signed_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, h, signature) of every document with shingles, written once, so that texts are shingled once."""
+    return cut(_sign(hashed_shingles(documents, key, text), key))
+
+
+def verified_pairs(documents: DataFrame, threshold: float = SIMILAR, key: str = "doc_id", text: str = "text", signed: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: representatives whose whole shingle sets have at least the threshold (SIMILAR or more)."""
+    if threshold < SIMILAR:
+        raise ValueError(f"the bands reach {SIMILAR}")
+    kind = dict(documents.dtypes)[key]
+    signed = signed or signed_documents(documents, key, text)
+    sig = cut(signed.join(signed.groupBy("h").agg(F.min(key).alias(key)), ["h", key], "left_semi").select(key, "signature"))
+    pairs = all_candidate_pairs(sig, key)
+    x, y = sig.select(F.col(key).alias("a"), F.col("signature").alias("x")), sig.select(F.col(key).alias("b"), F.col("signature").alias("y"))
+
+    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.loc[(np.stack(pdf["x"]) == np.stack(pdf["y"])).sum(1) >= AGREE, ["a", "b"]]
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf["k"], "s": [np.unique(np.array([int(h[:15], 16) for h in shingle_hashes(t)], np.int64)).tobytes() for t in pdf["t"]]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sims = []
+            for x, y in zip(pdf["x"], pdf["y"]):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                sims.append(both / (len(x) + len(y) - both))
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": sims})
+            yield out[out["similarity"] >= threshold]
+
+    few = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(promising, f"a {kind}, b {kind}"))
+    named = few.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    texts = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    held = cut(texts.join(named, "k", "left_semi").mapInPandas(sets, f"k {kind}, s binary"))
+    both = few.join(held.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(compare, f"a {kind}, b {kind}, similarity double")
+
+
 def capped(pairs: DataFrame, most: int) -> DataFrame:
     """At most ``most`` pairs, those of the most linked documents first: the option of a bounded run, off by default."""
     both = pairs.select(F.col("a").alias("x")).union(pairs.select("b"))
@@ -101,12 +167,22 @@ def clusters(documents: DataFrame, pairs: DataFrame, key: str = "doc_id", text:
     return all_rows.join(best, "cluster_id").select(key, "cluster_id", "canonical")
 
 
+def _same_sets(s: DataFrame, key: str) -> DataFrame:
+    """(a, b): documents (key, h) of equal shingle sets under their least."""
+    return s.join(s.groupBy("h").agg(F.min(key).alias("a")), "h").where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b"))
+
+
 def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Clusters of all documents: equal shingle sets, then banded candidates between different ones."""
     sig = cut(minhash(documents, key, text))
-    s = hashed_shingles(documents, key, text).select(key, "h")
-    same = s.join(s.groupBy("h").agg(F.min(key).alias("a")), "h").where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b"))
-    return clusters(documents, cut(same.unionByName(candidate_pairs(sig, key))), key, text)
+    return clusters(documents, cut(_same_sets(hashed_shingles(documents, key, text).select(key, "h"), key).unionByName(candidate_pairs(sig, key))), key, text)
+
+
+def verified_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Clusters of all documents: equal shingle sets, then verified pairs of different ones."""
+    signed = signed_documents(documents, key, text)
+    links = verified_pairs(documents, SIMILAR, key, text, signed).select("a", "b")
+    return clusters(documents, cut(_same_sets(signed.select(key, "h"), key).unionByName(links)), key, text)
 
 
 def representative_by_metric(members: DataFrame, cluster: str, key: str, metric) -> DataFrame:

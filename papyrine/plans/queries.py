@@ -416,6 +416,23 @@ def dedup_stats(spark, d):
     return g.groupBy("n").agg(F.count("*").alias("clusters"))
 
 
+@query
+def dedup_verified_pairs(spark, d):
+    """Pairs of different shingle sets at 0.8 or more; dedup_clusters holds to the bands of its SQL, which miss some."""
+    return dedup.verified_pairs(_docs(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), _r("similarity").alias("similarity"))
+
+
+@query
+def dedup_verified_clusters(spark, d):
+    return dedup.verified_groups(_docs(spark, d))
+
+
+@query
+def dedup_verified_stats(spark, d):
+    g = dedup.verified_groups(_docs(spark, d)).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return g.groupBy("n").agg(F.count("*").alias("clusters"))
+
+
 @query
 def semantic_edges(spark, d):
     v = table(spark, d, "vectors").where("dim = 64 and size(vector) = 64 and not exists(vector, x -> isnan(x) or abs(x) > 1e30)").where(dense.norm(F.col("vector")) > 0)

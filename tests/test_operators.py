@@ -129,6 +129,37 @@ def test_near_groups(spark):
     assert {(r.doc_id, r.copies) for r in dedup.exact_groups(docs).collect()} == {(1, 2), (2, 2), (3, 1), (4, 1), (6, 1)}
 
 
+def _edited(n=120):
+    """Texts in families of four whose members are edited ever more, the first as the source."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for f in range(n):
+        w = [f"f{f}w{i}" for i in range(200)]
+        for k in range(4):
+            t = list(w)
+            for i in rng.choice(200, k * 2, replace=False):
+                t[i] = f"x{f}k{k}i{i}"
+            rows.append((4 * f + k, " ".join(t)))
+    return rows
+
+
+def test_verified_pairs_equal_brute_force(spark):
+    rows = _edited()
+    sets = {i: set(dedup.shingle_hashes(t)) for i, t in rows}
+    want = {}
+    for f in range(0, len(rows), 4):
+        for a in range(f, f + 4):
+            for b in range(a + 1, f + 4):
+                s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                if s >= 0.8:
+                    want[a, b] = round(s, 9)
+    docs = spark.createDataFrame([*rows, (9000, None), (9001, ""), (9002, rows[0][1])], "doc_id long, text string")
+    got = {(r.a, r.b): round(r.similarity, 9) for r in dedup.verified_pairs(docs).collect()}
+    assert len(want) > 100 and got == want
+    groups = {r.doc_id: r.cluster_id for r in dedup.verified_groups(docs).collect()}
+    assert len(groups) == len(rows) + 3 and groups[9002] == 0 and all(groups[a] == groups[b] for a, b in want)
+
+
 def test_dense_and_edges(spark):
     v = spark.createDataFrame([(1, [0.99, 0.01]), (2, [0.98, 0.02]), (3, [0.0, 1.0]), (4, None), (5, [0.99, 0.01]), (6, [0.0, 0.0])], "doc_id long, embedding array<float>")
     assert [(r.src, r.dst) for r in dense.semantic_edges(v.where("doc_id != 6"), 0.9).collect()] == [(1, 2)]
