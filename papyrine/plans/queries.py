@@ -439,6 +439,14 @@ def semantic_edges(spark, d):
     return dense.semantic_edges(v, 0.92, None, key="vec_id", vector="vector").select("src", "dst", _r("weight").alias("weight"))
 
 
+@query
+def semantic_edges_all_dims(spark, d):
+    """Edges of all usable vectors, each length apart; semantic_edges holds to the one length of its SQL."""
+    v = table(spark, d, "vectors").where("vec_id is not null and dim in (64, 32) and size(vector) = dim and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))").where(dense.norm(F.col("vector")) > 0)
+    v = v.groupBy("vec_id").agg(F.min_by("vector", F.struct("stored_at", "vector")).alias("vector"))
+    return dense.semantic_edges(v, 0.92, None, key="vec_id", vector="vector").select("src", "dst", _r("weight").alias("weight"))
+
+
 @query
 def dedup_results_by_content(spark, d):
     r = _sparse_run(spark, d).select("qid", "doc_id", "rnk")

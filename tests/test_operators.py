@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import stemming, templates, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, graph, rerank, routing, scaffold, sparse
-from papyrine.plans import ordered
+from papyrine.plans import ordered, queries
 from papyrine.plans.ordered import lag_across, running_sum
 
 
@@ -160,6 +160,26 @@ def test_verified_pairs_equal_brute_force(spark):
     assert len(groups) == len(rows) + 3 and groups[9002] == 0 and all(groups[a] == groups[b] for a, b in want)
 
 
+def test_semantic_edges_of_all_dims(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        dim = 32 if i % 3 else 64
+        v = rng.standard_normal(dim) if i % 9 < 3 else np.array(rows[i - 3][1]) + 0.2 * rng.standard_normal(dim)
+        rows.append((i, [float(x) for x in v], dim))
+    bad = [(900, None, 32), (901, [0.0] * 32, 32), (902, [float("nan")] * 32, 32), (903, [1.0] * 31, 32), (904, [1.0] * 32, None), (905, [1.0] * 32, 64)]
+    spark.createDataFrame([(*r, 1) for r in rows + bad], "vec_id long, vector array<float>, dim int, stored_at long").write.parquet(f"{tmp_path}/vectors.parquet")
+    want = set()
+    for a, x, _ in rows:
+        for b, y, _ in rows[a + 1 :]:
+            if len(x) == len(y):
+                x_, y_ = np.float32(x).astype(float), np.float32(y).astype(float)
+                if x_ @ y_ / np.linalg.norm(x_) / np.linalg.norm(y_) >= 0.92:
+                    want.add((a, b))
+    assert {len(rows[a][1]) for a, _ in want} == {32, 64}
+    assert {(r.src, r.dst) for r in queries.semantic_edges_all_dims(spark, str(tmp_path)).collect()} == want
+
+
 def test_dense_and_edges(spark):
     v = spark.createDataFrame([(1, [0.99, 0.01]), (2, [0.98, 0.02]), (3, [0.0, 1.0]), (4, None), (5, [0.99, 0.01]), (6, [0.0, 0.0])], "doc_id long, embedding array<float>")
     assert [(r.src, r.dst) for r in dense.semantic_edges(v.where("doc_id != 6"), 0.9).collect()] == [(1, 2)]
