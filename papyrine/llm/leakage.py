@@ -238,12 +238,22 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _clusters(at: np.ndarray, reach: int) -> np.ndarray:
+    """First position of each cluster of hits; a cluster's positions lie within ``reach`` of its first."""
+    firsts, at = [], np.unique(at)
+    while len(at):
+        firsts.append(at[0])
+        at = at[np.searchsorted(at, at[0] + reach, side="right") :]
+    return np.array(firsts)
+
+
 def leaked_items(documents: DataFrame, benchmark: DataFrame, paraphrases: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, kind, cosine, lcs_share): documents that hold passages of test items.
 
     kind "exact": at least WINDOW consecutive words are shared. With ``paraphrases``
     also "paraphrase": several candidate windows, a longest common subsequence of at least
-    LCS_SHARE of the item's words and ANSWER_SHARE of its rare words. Null texts hold
+    LCS_SHARE of the item's words and ANSWER_SHARE of its rare words around any cluster of
+    those windows, the best of which is given. Null texts hold
     nothing and null items are not sought; items of fewer than WINDOW words cannot be
     found. Repeated rows give repeated results; empty tables give none. The items are
     the stated query set and are read in blocks of ITEM_BLOCK.
@@ -286,15 +296,16 @@ def _block(documents: DataFrame, items: Items, paraphrases: bool, key: str, text
                     out.append((part["doc_id"].iloc[k // len(index.items.ids)], index.items.ids[k % len(index.items.ids)], "exact", float(c), None))
                 if paraphrases:
                     rest = ~np.isin(key, exact)
-                    best = pd.DataFrame({"key": key[rest], "at": at[rest], "cos": cos[rest]}).groupby("key").agg(hits=("at", "nunique"), first=("at", "min"), cos=("cos", "max"))
+                    best = pd.DataFrame({"key": key[rest], "at": at[rest], "cos": cos[rest]}).groupby("key").agg(hits=("at", "nunique"), places=("at", "unique"), cos=("cos", "max"))
                     for r in best[best["hits"] >= HITS].itertuples():
                         doc_no, item_no = r.Index // len(index.items.ids), r.Index % len(index.items.ids)
                         words = index.items.words[item_no]
-                        span = ids[max(int(ends[doc_no] - n[doc_no]), r.first - len(words)) : min(int(ends[doc_no]), r.first + 2 * len(words) + WINDOW)]
                         answer = words[index.idf2[words] > rare]
-                        if len(answer) and np.isin(answer, span).mean() < ANSWER_SHARE:
-                            continue
-                        share = _lcs(words.astype(np.int64), span) / len(words)
+                        share = 0.0
+                        for first in _clusters(r.places, len(words)):
+                            span = ids[max(int(ends[doc_no] - n[doc_no]), first - len(words)) : min(int(ends[doc_no]), first + 2 * len(words) + WINDOW)]
+                            if not len(answer) or np.isin(answer, span).mean() >= ANSWER_SHARE:
+                                share = max(share, _lcs(words.astype(np.int64), span) / len(words))
                         if share >= LCS_SHARE:
                             out.append((part["doc_id"].iloc[doc_no], index.items.ids[item_no], "paraphrase", float(r.cos), share))
                 if out:

@@ -369,6 +369,20 @@ def test_paraphrases(spark, sf_dir):
     assert (9001, item.item_id, "paraphrase") in got
 
 
+def test_paraphrase_after_stray_windows(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").where("lang = 'en'").orderBy("item_id").limit(20)
+    item = b.first()
+    changed = ["a" if x == "the" else x for x in shingles.words_of(item.text) if x not in ("of", "is")]
+    w, long = shingles.words_of(item.text), []
+    for i in range(0, len(w) - 11, 11):  # eleven words and another, far apart
+        long += [*w[i : i + 11], "a" if w[i + 11] == "the" else "the", *["zzz"] * 1000]
+    long += changed
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame([(9001, " ".join(long))], "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.kind) for r in leakage.leaked_items(d, b, paraphrases=True).collect()}
+    assert (9001, item.item_id, "paraphrase") in got
+    assert leakage._clusters(np.array([5, 900, 7, 15, 16, 26]), 10).tolist() == [5, 16, 900]
+
+
 # -- 10 ------------------------------------------------------------------------------------------
 
 GARBLES = {
