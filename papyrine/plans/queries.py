@@ -416,6 +416,12 @@ def dedup_stats(spark, d):
     return g.groupBy("n").agg(F.count("*").alias("clusters"))
 
 
+@query
+def lsh_all_candidate_pairs(spark, d):
+    """Every pair of a bucket; lsh_candidate_pairs holds to its SQL, which links a bucket's members to the least only."""
+    return dedup.all_candidate_pairs(cut(dedup.minhash(_docs(spark, d)))).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
 @query
 def dedup_verified_pairs(spark, d):
     """Pairs of different shingle sets at 0.8 or more; dedup_clusters holds to the bands of its SQL, which miss some."""

@@ -160,6 +160,16 @@ def test_verified_pairs_equal_brute_force(spark):
     assert len(groups) == len(rows) + 3 and groups[9002] == 0 and all(groups[a] == groups[b] for a, b in want)
 
 
+@pytest.mark.parametrize("block", [256, 5])
+def test_every_pair_of_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    # Ids under 30 share the first band only, 100 and 101 the last, 200 none.
+    rows = [(i, [0] * 4 + [1000 * i + j for j in range(113)]) for i in range(30)]
+    rows += [(i, [1000 * i + j for j in range(112)] + [7] * 4 + [i]) for i in (100, 101)] + [(200, list(range(10**6, 10**6 + 117)))]
+    got = [(r.a, r.b) for r in dedup.all_candidate_pairs(spark.createDataFrame(rows, "doc_id long, signature array<long>")).collect()]
+    assert sorted(got) == [(a, b) for a in range(30) for b in range(a + 1, 30)] + [(100, 101)]
+
+
 def test_semantic_edges_of_all_dims(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = []
