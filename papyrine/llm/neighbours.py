@@ -3,8 +3,10 @@
 Every tree writes a vector as a long string of sign bits. Trees come in groups that
 share their first bits: those name the partition a vector is sent to, so a vector
 travels once for each group. Inside a partition each tree of the group is a sorted array
-of the remaining bits; a query descends to its longest prefix and all trees ascend
-together until the blocks they reach hold enough candidates.
+of the remaining bits, cut once into fixed blocks of at most BLOCK members, and a vector
+is compared with its block in every tree. These blocks replace the descent of each query
+and the common ascent of all trees: only a side of fewer than LEAST members of a tree
+takes its nearest siblings along.
 """
 
 from __future__ import annotations
