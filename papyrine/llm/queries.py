@@ -52,12 +52,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.neighbour_pairs(neighbours.nearest(table(spark, d, "vectors")))
+    return neighbours.neighbour_pairs(neighbours.nearest(table(spark, d, "vectors"), dims=(64, 32)))
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ranked neighbours of every vector."""
-    return neighbours.nearest(table(spark, d, "vectors")).select("vec_id", "rank", "neighbour", F.round("similarity", 9).alias("similarity"))
+    return neighbours.nearest(table(spark, d, "vectors"), dims=(64, 32)).select("vec_id", "rank", "neighbour", F.round("similarity", 9).alias("similarity"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
