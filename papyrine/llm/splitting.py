@@ -16,6 +16,9 @@ WHITE, SOLID = r"[\s\x85\p{Z}]", r"[^\s\x85\p{Z}]"
 #: Boundaries by strength: name and what the last characters of a piece must match.
 BOUNDARIES = (("paragraph", r"(?<=\n[ \t\r]{0,8}\n)"), ("sentence", rf"(?<=[.!?…]['\"”’»)\]]{{0,3}}{WHITE})"), ("line", r"(?<=\n)"), ("space", rf"(?<={WHITE})"))
 
+#: Parts whose sizes are summed at a time.
+RUN = 256
+
 
 def split_pattern(limit: int, overlap: int) -> str:
     """Pattern whose successive matches are the new parts of the pieces.
@@ -44,31 +47,26 @@ def split_pieces(documents: DataFrame, limit: int = 2000, overlap: int = 200, ke
     if not 0 <= overlap * 2 <= limit:
         raise ValueError("overlap must be at most half the limit")
     base = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.char_length("_text") > limit)
-    parts = base.withColumn("_parts", F.regexp_extract_all("_text", F.lit(split_pattern(limit, overlap)), F.lit(0)))
-    ends = F.expr("aggregate(_parts, cast(array() as array<int>), (a, p) -> array_append(a, coalesce(try_element_at(a, -1), 0) + char_length(p)))")
-    each = parts.select("_key", "_text", ends.alias("_ends"), F.posexplode("_parts").alias("piece_no", "_part"))
-    last = F.col("piece_no") == F.size("_ends") - 1
-    boundary = F.when(last, "end")
-    for name, tail in (("paragraph", r"\n[ \t\r]*\n\z"), ("sentence", rf"[.!?…]['\"”’»)\]]{{0,3}}{WHITE}\z"), ("line", r"\n\z"), ("space", rf"{WHITE}\z")):
-        boundary = boundary.when(F.col("_part").rlike(tail), name)
+    parts = base.select("_key", F.regexp_extract_all("_text", F.lit(split_pattern(limit, overlap)), F.lit(0)).alias("_parts"))
+    # A piece is made of its part and its neighbours in the array, so the text itself is not carried along and the work grows as its length.
+    # Two parts in a row hold more than the overlap: with less, the first could have been longer.
+    parts = parts.withColumn("_sizes", F.transform("_parts", lambda p: F.char_length(p))).withColumn("_sums", F.expr(f"transform(sequence(0, (size(_sizes) - 1) div {RUN}), b -> aggregate(slice(_sizes, b * {RUN} + 1, {RUN}), 0, (a, x) -> a + x))"))
+    parts = parts.withColumn("_before", F.expr("transform(_sums, (x, b) -> aggregate(slice(_sums, 1, b), 0, (a, y) -> a + y))"))
+    start = f"_before[i div {RUN}] + aggregate(slice(_sizes, (i div {RUN}) * {RUN} + 1, i % {RUN}), 0, (a, x) -> a + x)"
+    tail = f"right(concat(coalesce(get(_parts, i - 3), ''), coalesce(get(_parts, i - 2), ''), coalesce(get(_parts, i - 1), '')), {overlap + 1})"
+    each = parts.select("_key", F.explode(F.expr(f"transform(_parts, (p, i) -> struct(i as piece_no, p as _part, {start} as _start, {tail} as _tail, substring(get(_parts, i + 1), 1, 1) as _next))")).alias("_x")).select("_key", "_x.*")
+    boundary = F.when(F.col("_next").isNull(), "end")
+    for name, end in (("paragraph", r"\n[ \t\r]*\n\z"), ("sentence", rf"[.!?…]['\"”’»)\]]{{0,3}}{WHITE}\z"), ("line", r"\n\z"), ("space", rf"{WHITE}\z")):
+        boundary = boundary.when(F.col("_part").rlike(end), name)
     # A run that needed the whole limit ends before white space.
-    following = F.expr("substring(_text, element_at(_ends, piece_no + 1) + 1, 1)")
-    boundary = boundary.when(following.rlike(f"^{WHITE}"), "space").otherwise("char")
-    size = F.char_length("_part")
-    start = F.expr("element_at(_ends, piece_no + 1)") - size
-    back = F.least(start, F.lit(overlap), F.lit(limit) - size)
-    before = F.expr("substring(_text, _start - _back, _back + 1)")
+    boundary = boundary.when(F.col("_next").rlike(f"^{WHITE}"), "space").otherwise("char")
+    each = each.withColumn("boundary", boundary).withColumn("_back", F.least("_start", F.lit(overlap), F.lit(limit) - F.char_length("_part")))
     # One character more than the overlap shows whether the overlap begins inside a word.
-    trimmed = F.when(F.col("_back") == 0, "").when(F.col("_before").rlike(f"^{WHITE}") | (F.col("_start") == F.col("_back")), F.expr("right(_before, _back)")).when(
-        F.expr("substring(_before, 2)").rlike(WHITE + SOLID), F.regexp_replace(F.col("_before"), f"^{SOLID}+{WHITE}+", "")
-    ).otherwise(F.expr("right(_before, _back)"))
-    out = (
-        each.withColumn("boundary", boundary)
-        .withColumn("_start", start)
-        .withColumn("_back", back)
-        .withColumn("_before", F.when(F.col("_start") == F.col("_back"), F.expr("substring(_text, 1, _back)")).otherwise(before))
-        .withColumn("_overlap", trimmed)
-    )
+    each = each.withColumn("_tail", F.expr("right(_tail, if(_start = _back, _back, _back + 1))"))
+    whole = F.expr("right(_tail, _back)")
+    trimmed = F.when(F.col("_back") == 0, "").when(F.col("_tail").rlike(f"^{WHITE}") | (F.col("_start") == F.col("_back")), whole)
+    trimmed = trimmed.when(F.expr("substring(_tail, 2)").rlike(WHITE + SOLID), F.regexp_replace(F.col("_tail"), f"^{SOLID}+{WHITE}+", "")).otherwise(whole)
+    out = each.withColumn("_overlap", trimmed)
     return out.select(
         F.col("_key").alias(key),
         "piece_no",

@@ -119,6 +119,33 @@ def test_pieces_round_trip(spark, seed):
     assert forced == {i: int(bool(re.search(r"\S{2001}", t))) for i, t in texts.items() if i in got}
 
 
+def test_splitting_is_linear(spark):
+    import time
+
+    def seconds(n):
+        t = "".join(random.Random(n).choices(["wörd ", "longer ", "end. ", "\n"], k=n))
+        df = docs(spark, [(1, t, "en", "s")])
+        began = time.time()
+        got = splitting.split_pieces(df).agg(F.sum(F.char_length("piece") - F.col("overlap")).alias("n")).first().n
+        assert got == len(t)
+        return time.time() - began
+
+    seconds(20_000)
+    assert seconds(1_600_000) < 8 * seconds(400_000) + 1
+
+
+@pytest.mark.parametrize("limit,overlap", [(40, 20), (41, 0), (60, 7)])
+def test_pieces_of_other_sizes(spark, limit, overlap):
+    rng = random.Random(limit)
+    texts = {i: "".join(rng.choice(["a ", "bb\n", "ccc. ", "\n\n", "d" * rng.choice([3, limit - 1, limit, limit + 1]) + " "]) for _ in range(80)) for i in range(8)}
+    at = {}
+    for r in splitting.split_pieces(docs(spark, [(i, t, "en", "s") for i, t in texts.items()]), limit, overlap).orderBy("doc_id", "piece_no").collect():
+        assert 0 < len(r.piece) <= limit and r.overlap <= overlap and r.first_char + r.overlap == at.get(r.doc_id, 0)
+        assert texts[r.doc_id][r.first_char : r.first_char + len(r.piece)] == r.piece
+        at[r.doc_id] = r.first_char + len(r.piece)
+    assert at == {i: len(t) for i, t in texts.items()}
+
+
 # -- 4 -------------------------------------------------------------------------------------------
 
 
