@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.plans.layout import cut
+from papyrine.plans.layout import cut, drop
 
 #: Rounds before the loop gives up; star contraction needs about log2 of the longest path.
 ROUNDS = 60
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(ends.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = None
     for _ in range(ROUNDS):
-        now = cut(_star(_star(now, True), False))
+        last, now = now, cut(_star(_star(now, True), False))
+        drop(last)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if mark == before:
             break

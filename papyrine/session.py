@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     root = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="papyrine-"), "papyrine.zip")
+    folder_ = tempfile.mkdtemp(prefix="papyrine-")
+    atexit.register(shutil.rmtree, folder_, ignore_errors=True)
+    out = os.path.join(folder_, "papyrine.zip")
     with zipfile.ZipFile(out, "w") as z:
         for folder, _, files in os.walk(root):
             for f in files:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import stemming, templates, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, graph, rerank, routing, scaffold, sparse
-from papyrine.plans import ordered, queries
+from papyrine.plans import layout, ordered, queries
 from papyrine.plans.ordered import lag_across, running_sum
 
 
@@ -276,3 +276,34 @@ def test_rolling_mean_over_blocks(spark, monkeypatch):
     want = [np.mean([v for g2, j, v in rows if g2 == g and i - 7 < j <= i]) for g, i, _ in rows]
     assert np.allclose([r.m for r in got], want)
     assert ordered.rolling_mean(spark.createDataFrame([], "g string, i int, v double"), ["g"], ["i"], "v", 7, "m").count() == 0
+
+
+def test_written_tables_need_a_shared_folder(spark, tmp_path, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        layout.shared_dir(Session())
+
+
+def test_written_tables_go(spark):
+    import os
+
+    t = layout.cut(spark.range(5))
+    where = t._written.removeprefix("file:")
+    assert t.count() == 5 and os.path.isdir(where) and spark.sparkContext.applicationId in where
+    layout.drop(t)
+    assert not os.path.exists(where)
+
+
+def test_spread_reads_nodes_and_not_names(spark, tmp_path):
+    at = str(tmp_path / "Sorted Limit")
+    spark.range(10).withColumnRenamed("id", "Join").coalesce(1).write.parquet(at)
+    assert layout.spread(spark.read.parquet(at), 3).rdd.getNumPartitions() == 3
+    assert layout.spread(spark.read.parquet(at).groupBy("Join").count(), 3).rdd.getNumPartitions() >= 1
