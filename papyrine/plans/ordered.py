@@ -26,14 +26,20 @@ def lag_across(df: DataFrame, group: list[str], chunk: str, order: list[str], co
     return here.join(carry, [*group, chunk], "left").withColumn(to, F.coalesce("_prev", "_carry")).drop("_prev", "_carry")
 
 
-def running_sum(df: DataFrame, group: list[str], chunk: str, order: list[str], flag, to: str) -> DataFrame:
-    """Adds ``to``: the sum of ``flag`` over the group's rows up to this one."""
+def running_sums(df: DataFrame, group: list[str], chunk: str, order: list[str], flags: dict) -> DataFrame:
+    """Adds each name of ``flags``: the sum of its expression over the group's rows up to this one."""
     inside = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    here = df.withColumn("_flag", flag.cast("long")).withColumn("_sum", F.sum("_flag").over(inside))
-    total = df.withColumn("_flag", flag.cast("long")).groupBy(*group, chunk).agg(F.sum("_flag").alias("_total"))
+    here = df.withColumns({f"_f_{k}": f.cast("long") for k, f in flags.items()})
+    total = here.groupBy(*group, chunk).agg(*[F.sum(f"_f_{k}").alias(f"_t_{k}") for k in flags])
     before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = total.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    return here.join(carry, [*group, chunk], "left").withColumn(to, F.col("_sum") + F.col("_carry")).drop("_flag", "_sum", "_carry")
+    carry = total.select(*group, chunk, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_c_{k}") for k in flags])
+    here = here.withColumns({f"_s_{k}": F.sum(f"_f_{k}").over(inside) for k in flags}).join(carry, [*group, chunk], "left")
+    return here.withColumns({k: F.col(f"_s_{k}") + F.col(f"_c_{k}") for k in flags}).drop(*[f"_{x}_{k}" for k in flags for x in "fsc"])
+
+
+def running_sum(df: DataFrame, group: list[str], chunk: str, order: list[str], flag, to: str) -> DataFrame:
+    """Adds ``to``: the sum of ``flag`` over the group's rows up to this one."""
+    return running_sums(df, group, chunk, order, {to: flag})
 
 
 def dense_index(df: DataFrame, to: str) -> DataFrame:
