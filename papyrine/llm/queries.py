@@ -61,14 +61,14 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    kept = conversations.rebuild_conversations(table(spark, d, "messages"), table(spark, d, "conversations"))
+    """Sessions of one conversation id are parts of one conversation."""
+    kept = conversations.rebuild_conversations(table(spark, d, "messages"), table(spark, d, "conversations"), join_sessions=True)
     return kept.select("conversation_id", "turn_no", "message_id", "role")
 
 
 def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Channels split into sessions at the calibrated inactivity gap."""
-    messages = table(spark, d, "messages")
-    kept = conversations.rebuild_conversations(messages, None, conversations.inactivity_gap(messages))
+    """Channels split into sessions at the calibrated inactivity gap, missing roles inferred."""
+    kept = conversations.rebuild_conversations(table(spark, d, "messages"), infer_roles=True)
     return kept.groupBy("conversation_id", "session_no").agg(F.count("*").alias("turns"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 

@@ -310,10 +310,14 @@ def test_instants(spark, t, us):
     assert spark.createDataFrame([(t,)], "t string").select(conversations.instant_of(F.col("t")).alias("x")).first().x == us
 
 
-@pytest.mark.parametrize("chunk", [None, 3])
-def test_conversations(spark, monkeypatch, chunk):
-    if chunk:
-        monkeypatch.setattr(conversations, "CHUNK_ROWS", chunk)
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_conversations(spark, request, ranges):
+    if ranges:
+        # Seven ranges over these rows cut the conversations.
+        for key, value in (("spark.sql.shuffle.partitions", str(ranges)), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+            old = spark.conf.get(key)
+            request.addfinalizer(lambda key=key, old=old: spark.conf.set(key, old))
+            spark.conf.set(key, value)
     s = lambda i: f"2025-01-01T00:00:{i:02d}Z"
     rows = [
         ("a0", "A", "System", "be nice", s(0), None), ("a1", "A", "human", "hi", s(1), "{}"), ("a2", "A", " AI", "hello", s(2), "broken"), ("a3", "A", "user", "more", s(3), None), ("a3b", "A", "user", " more\n", s(4), None), ("a4", "A", "bot", "yes", s(5), None), ("a4", "A", "bot", "yes", s(5), None),
@@ -335,8 +339,57 @@ def test_sessions_split_at_gaps(spark):
     rows = [("1", "A", "user", "q", s(0, 1), None), ("2", "A", "assistant", "r", s(0, 2), None), ("3", "A", "user", "q", s(9, 1), None), ("4", "A", "assistant", "r", s(9, 2), None), ("5", "A", "assistant", "alone", s(20, 0), None)]
     got = conversations.rebuild_conversations(messages(spark, rows), None, 3_600_000_000).orderBy("at").collect()
     assert [(r.session_no, r.turn_no, r.message_id) for r in got] == [(0, 0, "1"), (0, 1, "2"), (1, 0, "3"), (1, 1, "4")]
-    assert conversations.inactivity_gap(messages(spark, rows), 0.5, 1.0) == 1_000_000
-    assert conversations.inactivity_gap(messages(spark, [])) is None
+    whole = conversations.rebuild_conversations(messages(spark, rows[:4]), None, 3_600_000_000, join_sessions=True).orderBy("at").collect()
+    assert [(r.session_no, r.turn_no, r.message_id) for r in whole] == [(0, 0, "1"), (0, 1, "2"), (1, 2, "3"), (1, 3, "4")]
+    assert conversations.rebuild_conversations(messages(spark, [])).count() == 0
+
+
+def test_planted_sessions_are_found(spark):
+    rng = random.Random(11)
+    rows, want, n = [], set(), 0
+    for c in range(60):
+        at, no = 1_735_700_000.0 + c, 0
+        for session in range(rng.randint(1, 4)):
+            at += rng.uniform(7_000, 90_000)
+            broken = rng.random() < 0.2
+            first = n
+            for _ in range(rng.randint(1, 5)):
+                for role in ("user",) if broken else ("user", "assistant"):
+                    # One role in nine is unreadable; it answers what stands before.
+                    shown = "?" if rng.random() < 0.11 and role == "assistant" else role
+                    rows.append((f"m{n:05d}", f"c{c}", shown, f"text {n}", str(int(at * 1000)), None))
+                    n, at = n + 1, at + rng.uniform(1, 90)
+            if not broken:
+                want.add((f"c{c}", session, n - first))
+    rng.shuffle(rows)
+    got = conversations.rebuild_conversations(messages(spark, rows), infer_roles=True).groupBy("conversation_id", "session_no").count().collect()
+    got = {(r.conversation_id, r.session_no, r["count"]) for r in got}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
+def test_gaps_of_one_mode_part_nothing():
+    import math
+
+    normal = {b: int(10_000 * math.exp(-((b - 50) ** 2) / 30)) for b in range(30, 80)}
+    assert conversations.second_mode(normal) is None and conversations.second_mode({}) is None and conversations.second_mode({3: 9}) is None
+    both = {b: normal.get(b, 0) + int(600 * math.exp(-((b - 95) ** 2) / 20)) for b in range(30, 110)}
+    assert 62 < conversations.second_mode(both) < 90
+
+
+def test_replies_in_a_circle(spark):
+    t = "2025-01-01T00:00:00Z"
+    rows = [("a", "A", "user", "q", t, '{"reply_to": "b"}'), ("b", "A", "assistant", "r", t, '{"reply_to": "a"}'), ("c", "A", "assistant", "s", t, '{"reply_to": "b"}')]
+    assert conversations.rebuild_conversations(messages(spark, rows)).count() == 0
+    got = conversations.rebuild_conversations(messages(spark, rows[:2])).orderBy("turn_no").collect()
+    assert [r.message_id for r in got] == ["a", "b"]
+
+
+def test_long_chain_of_replies_in_an_instant(spark):
+    t, n = "2025-01-01T00:00:00Z", 300
+    name = lambda i: f"{(i * 7919) % 10007:05d}"
+    rows = [(name(i), "A", "user" if i % 2 == 0 else "assistant", f"t{i}", t, f'{{"reply_to": "{name(i - 1)}"}}' if i else None) for i in range(n)]
+    got = conversations.rebuild_conversations(messages(spark, rows)).orderBy("turn_no").collect()
+    assert [r.message_id for r in got] == [name(i) for i in range(n)]
 
 
 # -- 8 -------------------------------------------------------------------------------------------
