@@ -5,16 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm import langid
-from papyrine.plans.layout import spread
+from papyrine.plans.layout import cut, spread
 
 #: A word is never the last of a sentence if it ends less than this share of its occurrences, seen at least so often.
 NEVER_ENDS, SEEN = 0.002, 200
+#: Share of all words that such a word has at least.
+LEAST_SHARE = 1e-5
 #: Share of a question's words that an answer must repeat in one run to be a copy, and words allowed around it.
 COPY_SHARE, LEAD_IN = 0.6, 7
 #: Bytes that a copied answer may need, as a share of its length, once its question is the dictionary.
@@ -93,18 +96,31 @@ def is_refusal(answer: str) -> bool:
     return said
 
 
+def _grams(ids: np.ndarray, n: int, power: np.ndarray) -> np.ndarray:
+    """One hash for each run of ``n`` ids, from prefix sums; equal runs have equal hashes."""
+    prefix = np.r_[np.uint64(0), np.cumsum(ids * power[: len(ids)], dtype=np.uint64)]
+    return (prefix[n:] - prefix[:-n]) * power[len(power) - 1 - np.arange(len(ids) - n + 1)]
+
+
 def _block(a: list[str], q: list[str]) -> tuple[int, int]:
-    """(length, start in a) of the longest common run of words."""
-    best, at, row = 0, 0, [0] * (len(q) + 1)
-    for i, x in enumerate(a):
-        new = [0] * (len(q) + 1)
-        for j, y in enumerate(q):
-            if x == y:
-                new[j + 1] = row[j] + 1
-                if new[j + 1] > best:
-                    best, at = new[j + 1], i - new[j + 1] + 1
-        row = new
-    return best, at
+    """(length, start in a) of the longest common run of words, the first of several.
+
+    A run of n words holds one of n - 1, so the length is found by halving; the work is that of sorting the words.
+    """
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in t], np.uint64) for t in (a, q))
+    rng = np.random.default_rng(3)
+    values = rng.integers(1, 2**63, len(number), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    power = np.cumprod(np.full(max(len(a), len(q)) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    lo, hi, at = 0, min(len(a), len(q)), 0
+    while lo < hi:
+        n = (lo + hi + 1) // 2
+        hit = np.flatnonzero(np.isin(_grams(values[x], n, power), _grams(values[y], n, power)))
+        if len(hit):
+            lo, at = n, int(hit[0])
+        else:
+            hi = n - 1
+    return lo, at
 
 
 def copies(question: str, answer: str) -> bool:
@@ -114,7 +130,7 @@ def copies(question: str, answer: str) -> bool:
     shrink to a fraction of its size holds words of its own.
     """
     q, a = question.casefold().encode(), answer.casefold().encode()
-    if not q or len(a) > 3 * len(q) + 200:
+    if not q:
         return False
     # The frame of a one-shot compression costs 9 bytes without content size and checksum.
     level = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
@@ -189,35 +205,45 @@ def breaks_off(answer: str, open_words: frozenset) -> bool:
     return len(_WORD.findall(text)) > 1 and head.isupper() and not re.fullmatch(r"[\W\dA-Z/.]+", text)
 
 
+def defects_of(questions: list[str | None], answers: list[str | None], model: langid.LanguageModel, open_words: frozenset) -> list[str | None]:
+    """The defect of each pair; those that still need it are looked at for their language together."""
+    found: list[str | None] = []
+    for q, a in zip(questions, answers):
+        found.append("empty" if is_empty(a) else "copy" if copies(q or "", a) else "refusal" if is_refusal(a) else None)
+    rest = [i for i, f in enumerate(found) if f is None]
+    asked = sorted({questions[i] or "" for i in rest})
+    of_question = dict(zip(asked, langid.stretches_many(model, asked)))
+    of_answer = langid.stretches_many(model, [_core(answers[i]) for i in rest])
+    for i, b in zip(rest, of_answer):
+        q, answer = questions[i] or "", answers[i]
+        a = of_question[q]
+        if a and b:
+            ql = max(a, key=lambda s: s[4] - s[3])
+            al = max(b, key=lambda s: s[4] - s[3])
+            if ql[1] != al[1] and ql[2] >= 0.9 and al[2] >= 0.9 and len(_WORD.findall(answer)) >= 4 and not any(s[1] == ql[1] for s in b) and not asks_for(q, al[1]):
+                found[i] = "language"
+                continue
+        found[i] = "truncated" if breaks_off(answer, open_words) else None
+    return found
+
+
 def defect_of(question: str | None, answer: str | None, model: langid.LanguageModel, open_words: frozenset) -> str | None:
-    if is_empty(answer):
-        return "empty"
-    q = question or ""
-    if copies(q, answer):
-        return "copy"
-    if is_refusal(answer):
-        return "refusal"
-    a, b = langid.stretches(model, q), langid.stretches(model, _core(answer))
-    if a and b:
-        ql = max(a, key=lambda s: s[4] - s[3])
-        al = max(b, key=lambda s: s[4] - s[3])
-        if ql[1] != al[1] and ql[2] >= 0.9 and al[2] >= 0.9 and len(_WORD.findall(answer)) >= 4 and not any(s[1] == ql[1] for s in b) and not asks_for(q, al[1]):
-            return "language"
-    return "truncated" if breaks_off(answer, open_words) else None
+    return defects_of([question], [answer], model, open_words)[0]
 
 
 def never_ending_words(evaluations: DataFrame) -> DataFrame:
     """(word): the terminal-context model, counted over all sentences of all contexts and answers.
 
-    Words seen at least ``SEEN`` times; there are at most (all words / SEEN) of them
-    and in practice the few hundred words that hold sentences together.
+    A word counts from SEEN occurrences on and from a share of LEAST_SHARE of all words, so
+    there are never more than 1 / LEAST_SHARE of them; they are the words that hold sentences together.
     """
     texts = evaluations.select(F.explode(F.array("contexts", "answer")).alias("t")).where("t is not null")
     sentences = texts.select(F.explode(F.split(F.lower("t"), r"(?<=[.!?])[\s\"\]]+")).alias("s")).where(F.col("s").rlike(r"[.!?]$"))
     words = sentences.select(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where("size(w) > 0")
     counted = words.select(F.posexplode("w").alias("i", "word"), F.size("w").alias("n"))
-    rate = counted.groupBy("word").agg(F.count("*").alias("seen"), F.sum((F.col("i") == F.col("n") - 1).cast("long")).alias("ends"))
-    return rate.where((F.col("seen") >= SEEN) & (F.col("ends") < NEVER_ENDS * F.col("seen"))).select("word")
+    rate = cut(counted.groupBy("word").agg(F.count("*").alias("seen"), F.sum((F.col("i") == F.col("n") - 1).cast("long")).alias("ends")))
+    total = rate.agg(F.sum("seen")).first()[0] or 0
+    return rate.where((F.col("seen") >= max(SEEN, LEAST_SHARE * total)) & (F.col("ends") < NEVER_ENDS * F.col("seen"))).select("word")
 
 
 def defective_pairs(evaluations: DataFrame, model: langid.LanguageModel, key: str = "id") -> DataFrame:
@@ -228,8 +254,7 @@ def defective_pairs(evaluations: DataFrame, model: langid.LanguageModel, key: st
     do not matter.
     """
     spark = evaluations.sparkSession
-    limit = 20_000
-    open_words = frozenset(r.word for r in never_ending_words(evaluations).orderBy("word").limit(limit).collect())
+    open_words = frozenset(r.word for r in never_ending_words(evaluations).collect())
     held = spark.sparkContext.broadcast((model, open_words))
     rows = spread(evaluations.select(F.col(key).alias("id"), "question", "answer"))
 
@@ -237,8 +262,10 @@ def defective_pairs(evaluations: DataFrame, model: langid.LanguageModel, key: st
         m, words = held.value
         for pdf in batches:
             m.tidy()
-            found = [defect_of(None if pd.isna(q) else q, None if pd.isna(a) else a, m, words) for q, a in zip(pdf["question"], pdf["answer"])]
-            out = pd.DataFrame({"id": pdf["id"], "defect": found})
-            yield out[out["defect"].notna()]
+            for i in range(0, len(pdf), 1000):
+                part = pdf.iloc[i : i + 1000]
+                found = defects_of(*([None if pd.isna(x) else x for x in part[c]] for c in ("question", "answer")), m, words)
+                out = pd.DataFrame({"id": part["id"], "defect": found})
+                yield out[out["defect"].notna()]
 
     return rows.mapInPandas(run, "id long, defect string")

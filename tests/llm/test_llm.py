@@ -92,6 +92,40 @@ def test_pairs_table(spark, model):
     assert pairs.defective_pairs(spark.createDataFrame([], schema), model).count() == 0
 
 
+def test_longest_common_run_of_words():
+    rng = random.Random(1)
+
+    def slow(a, q):
+        best = (0, 0)
+        for i in range(len(a)):
+            for j in range(len(q)):
+                n = 0
+                while i + n < len(a) and j + n < len(q) and a[i + n] == q[j + n]:
+                    n += 1
+                best = max(best, (n, -i))
+        return best[0], -best[1]
+
+    for _ in range(200):
+        a, q = ([rng.choice("abcd") for _ in range(rng.randint(1, 25))] for _ in range(2))
+        assert pairs._block(a, q) == slow(a, q)
+    long = [str(rng.randrange(9)) for _ in range(60_000)]
+    assert pairs._block(["x", *long[100:50_000]], long) == (49_900, 1)
+
+
+def test_a_long_copy_is_a_copy(model):
+    assert pairs.defect_of(Q, " ".join([Q] * 40), model, OPEN) == "copy"
+
+
+def test_open_words_are_not_cut_off(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SEEN", 2)
+    monkeypatch.setattr(pairs, "LEAST_SHARE", 1e-9)
+    # More words than any fixed number would keep, each twice and never last.
+    names = [f"w{i:05d}" for i in range(25_000)]
+    rows = [(i, "q", " ".join(names) + " end.", None) for i in range(2)]
+    got = pairs.never_ending_words(spark.createDataFrame(rows, "id long, question string, answer string, contexts string"))
+    assert got.count() == 25_000 and got.where("word = 'end'").isEmpty()
+
+
 # -- 3 -------------------------------------------------------------------------------------------
 
 
