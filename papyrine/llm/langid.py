@@ -43,18 +43,6 @@ _URL = re.compile(r"\w+://\S+|\S+@\S+\.\w+")
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W_]+|[.!?…]+(?=[\s\"”»’)\]*_|]|$)|\n[^\S\n]*(?:\n\s*)?|[;:|\t]")
 
-# Everyday words and phrases of letters and notices, which the reference sentences lack.
-COMMON = {
-    "de": ["Sehr geehrte Damen und Herren, Guten Tag, Hallo, Liebe Grüße, mit freundlichen Grüßen, Beste Grüße", "Diese Nachricht kann vertrauliche oder interne Angaben enthalten und ist nur für den Empfänger bestimmt", "wenn Sie sie irrtümlich erhalten haben, löschen Sie sie bitte", "ich du er sie es wir ihr und oder aber nicht kein ein eine einer eines einem der die das den dem des", "ist sind war waren wird werden hat haben kann können muss soll nur auch noch schon mehr sehr als wie wenn dass weil für von mit bei nach aus über unter"],
-    "en": ["Dear Sir or Madam, Hello, Hi, Good morning, Kind regards, Best wishes, Yours sincerely, Thank you", "This message may contain internal or confidential data and is meant only for the person it is addressed to", "if you have received it by mistake, please delete it", "I you he she it we they and or but not no a an the this that these those", "is are was were will would has have can could must should only also still already more very as like if because for of with at by after from over under"],
-    "nl": ["Geachte heer, mevrouw, Beste, Hallo, Goedendag, Met vriendelijke groet, Hartelijke groeten, Dank u", "Dit bericht kan interne of vertrouwelijke gegevens bevatten en is alleen bestemd voor de ontvanger", "als u het per vergissing hebt gekregen, verwijder het dan alstublieft", "ik jij hij zij het wij jullie en of maar niet geen een de dit dat deze die", "is zijn was waren wordt worden heeft hebben kan kunnen moet zal alleen ook nog al meer zeer als zoals wanneer omdat voor van met bij na uit over onder"],
-    "es": ["Estimados señores, Hola, Buenos días, Un cordial saludo, Saludos cordiales, Atentamente, Gracias", "Este mensaje puede contener datos internos o confidenciales y se dirige solo a la persona que lo recibe", "si lo ha recibido por error, le rogamos que lo elimine", "yo tú él ella nosotros ellos y o pero no ningún un una el la los las este esta estos eso", "es son era fue será ha han puede pueden debe solo también todavía ya más muy como si cuando porque para por de con en tras desde sobre bajo"],
-    "fr": ["Madame, Monsieur, Bonjour, Cordialement, Bien cordialement, Salutations distinguées, Merci", "Ce message peut contenir des données internes ou confidentielles et s'adresse au seul destinataire", "merci de le supprimer s'il vous est parvenu par erreur", "je tu il elle nous vous ils et ou mais ne pas aucun un une le la les ce cette ces cela", "est sont était sera a ont peut peuvent doit seulement aussi encore déjà plus très comme si quand parce que pour de avec chez après depuis sur sous"],
-    "it": ["Gentili signori, Buongiorno, Salve, Cordiali saluti, Distinti saluti, Un cordiale saluto, Grazie", "Questo messaggio può contenere dati interni o riservati ed è rivolto solo al destinatario", "se lo ha ricevuto per errore, la preghiamo di eliminarlo", "io tu lui lei noi voi loro e o ma non nessun un una uno il lo la i gli le questo questa questi", "è sono era fu sarà ha hanno può possono deve solo anche ancora già più molto come se quando perché per di con da dopo su sotto"],
-    "pt": ["Exmos. Senhores, Olá, Bom dia, Com os melhores cumprimentos, Atenciosamente, Um abraço, Obrigado", "Esta mensagem pode conter dados internos ou confidenciais e destina-se apenas ao destinatário", "se a recebeu por engano, pedimos que a elimine", "eu tu ele ela nós vós eles e ou mas não nenhum um uma o a os as este esta estes isso", "é são era foi será tem têm pode podem deve só também ainda já mais muito como se quando porque para por de com em após desde sobre sob"],
-}
-
-
 def word_grams(word: str) -> set[str]:
     """Features of a lower-case word: the word and its 2- to 4-grams, with word ends."""
     w = f"^{word}$"
@@ -150,7 +138,7 @@ def train(samples: list[tuple[str, str]], window: int = 5, stride: int = 2) -> L
     words every ``stride`` words are the training examples, so short units are known.
     """
     rows, labels = [], []
-    for lang, text in [*samples, *((k, v) for k, vs in COMMON.items() for v in vs)]:
+    for lang, text in samples:
         if lang not in LANGS or not text:
             continue
         words = [w for w in _WORD.findall(text.lower()) if w.isalpha()]

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm import langid
 from papyrine.plans.layout import spread
 
-#: Labelled sentences that the classifier is fitted on, at most (the smallest sample_id first).
-MAX_SAMPLES = 5000
+#: Labelled sentences of each language that the classifier is fitted on, at most (the smallest sample_id first).
+MAX_SAMPLES = 700
 
 # Spellings of language labels.
 LABELS = {
@@ -27,9 +27,10 @@ LABELS = {
 
 
 def fit(samples: DataFrame) -> langid.LanguageModel:
-    """Fits the hierarchical classifier on a bounded sample of labelled rows (``lang``, ``text``)."""
-    rows = samples.where("lang is not null and text is not null").orderBy("sample_id").limit(MAX_SAMPLES).select("lang", "text").collect()
-    return langid.train([(r.lang, r.text) for r in rows])
+    """Fits the hierarchical classifier on a bounded sample of labelled rows (``lang``, ``text``), the same bound for each language."""
+    first = Window.partitionBy("lang").orderBy("sample_id", "text")
+    rows = samples.where(F.col("lang").isin(*langid.LANGS) & F.col("text").isNotNull()).withColumn("n", F.row_number().over(first)).where(F.col("n") <= MAX_SAMPLES)
+    return langid.train([(r.lang, r.text) for r in rows.orderBy("sample_id", "text").select("lang", "text").collect()])
 
 
 def label_code(label):
