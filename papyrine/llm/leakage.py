@@ -27,8 +27,10 @@ RANK, OVERSAMPLE = 64, 8
 SHARE, COSINE = 0.7, 0.93
 #: Cells of the latent index: sign bits, and the weakest of an item's bits that are flipped as well.
 CELL_BITS, FLIPS = 12, 3
-#: Items searched at a time; more are taken in blocks.
-ITEM_BLOCK = 20_000
+#: Items and their words searched at a time; more are taken in blocks, so what is broadcast has a bound.
+ITEM_BLOCK, ITEM_WORDS = 20_000, 2_000_000
+#: Tasks for each core that sum over the corpus: each passes on one row a word of the vocabulary, however many files it reads.
+SUMMING = 2
 #: Paraphrases: share of an item's words in the longest common subsequence, and of its rare words (the answer) in the passage.
 LCS_SHARE, ANSWER_SHARE, HITS = 0.6, 0.5, 3
 
@@ -85,6 +87,11 @@ def _slices(batches: Iterator[pd.DataFrame], size: int, words: int = 200_000) ->
             lo, at = hi, int(ends[hi - 1])
 
 
+def _few(encoded: DataFrame) -> DataFrame:
+    """The same rows in a number of partitions that follows the cores and not the corpus, without a shuffle."""
+    return encoded.coalesce(SUMMING * encoded.sparkSession.sparkContext.defaultParallelism)
+
+
 def _weights(encoded: DataFrame, size: int) -> np.ndarray:
     """Squared IDF of each vocabulary word over all documents; words outside weigh as much as one seen once."""
 
@@ -99,7 +106,7 @@ def _weights(encoded: DataFrame, size: int) -> np.ndarray:
         df[0] = docs
         yield pd.DataFrame({"word": np.arange(size + 1), "df": df})
 
-    rows = encoded.mapInPandas(run, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
+    rows = _few(encoded).mapInPandas(run, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(size + 1)
     for r in rows:
         df[r.word] = r.df
@@ -144,7 +151,7 @@ def _directions(encoded: DataFrame, idf: np.ndarray) -> np.ndarray:
         yield out
 
     schema = "word int, " + ", ".join(f"{c} double" for c in columns)
-    rows = encoded.mapInPandas(run, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).collect()
+    rows = _few(encoded).mapInPandas(run, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).collect()
     b = np.zeros((size + 1, k))
     for r in rows:
         b[r[0]] = r[1:]
@@ -258,16 +265,27 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, paraphrases: bool =
     found. Repeated rows give repeated results; empty tables give none. The items are
     the stated query set and are read in blocks of ITEM_BLOCK.
     """
-    spark = documents.sparkSession
-    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator()]
-    parts = [_block(documents, read_items(rows[i : i + ITEM_BLOCK]), paraphrases, key, text) for i in range(0, len(rows), ITEM_BLOCK)]
-    schema = "doc_id long, item_id long, kind string, cosine double, lcs_share double"
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionByName(p)
+    out = documents.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, cosine double, lcs_share double")
+    for items in _item_blocks(benchmark):
+        out = out.unionByName(_block(documents, items, paraphrases, key, text))
     return out
 
 
+def _item_blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The stated queries, at most ITEM_BLOCK items or about ITEM_WORDS words at a time."""
+    rows: list[tuple[int, str]] = []
+    words = 0
+    for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
+        more = len(words_of(r.text))
+        if rows and (len(rows) == ITEM_BLOCK or words + more > ITEM_WORDS):
+            yield read_items(rows)
+            rows, words = [], 0
+        rows.append((r.item_id, r.text))
+        words += more
+    if rows:
+        yield read_items(rows)
+
+
 def _block(documents: DataFrame, items: Items, paraphrases: bool, key: str, text: str) -> DataFrame:
     spark = documents.sparkSession
     encoded = _encode(documents, items, key, text)

@@ -518,6 +518,15 @@ def test_paraphrase_after_stray_windows(spark, sf_dir):
     assert leakage._clusters(np.array([5, 900, 7, 15, 16, 26]), 10).tolist() == [5, 16, 900]
 
 
+def test_items_come_in_blocks(spark, sf_dir, monkeypatch):
+    b = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(30)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").union(b.select((F.col("item_id") + 90_000).alias("doc_id"), "text"))
+    found = lambda: {(r.doc_id, r.item_id) for r in leakage.leaked_items(d, b).where("kind = 'exact'").collect()}
+    whole = found()
+    monkeypatch.setattr(leakage, "ITEM_WORDS", 700)
+    assert len(list(leakage._item_blocks(b))) > 1 and found() == whole and len(whole) >= 30
+
+
 # -- 10 ------------------------------------------------------------------------------------------
 
 GARBLES = {
