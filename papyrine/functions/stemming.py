@@ -1,4 +1,4 @@
-"""Stems and compound parts of words, as Arrow-batched functions over arrays of words.
+"""Stems and compound parts of words, as expressions over arrays of words.
 
 The stems strip regular inflection endings with length guards; they are light
 stemmers, not the full published algorithms, and are off by default everywhere.
@@ -6,9 +6,8 @@ stemmers, not the full published algorithms, and are off by default everywhere.
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Inflection endings by language, the longest first.
 ENDINGS = {
@@ -28,37 +27,41 @@ LINKS = ["s", "n", "es", "en", "e", "er"]
 LEAST_COMPOUND, LEAST_PART = 10, 4
 
 
-def light_stem(word: str, language: str) -> str:
-    for e in ENDINGS.get(language, ()):
-        if word.endswith(e) and len(word) - len(e) >= LEAST_STEM:
-            return word[: -len(e)]
-    return word
-
-
-def compound_parts(word: str) -> list[str]:
-    """The word, and its parts if a known tail or a linking sound divides it."""
-    w = word.lower()
-    if len(w) < LEAST_COMPOUND:
-        return [w]
-    tail = next((t for t in COMPOUND_TAILS if w.endswith(t) and len(w) - len(t) >= LEAST_PART), None)
-    if tail:
-        head = w[: -len(tail)]
-        if head.endswith("grund") and len(head) - 5 >= LEAST_PART:
-            return [w, head[:-5], "grund", tail]
-        return [w, head, tail]
-    # The longest first part that a linking sound follows, with enough left behind it.
-    for i in range(len(w) - 5, LEAST_PART - 1, -1):
-        for link in LINKS:
-            if w.startswith(link, i) and len(w) - i - len(link) >= LEAST_PART:
-                return [w, w[:i], w[i + len(link) :]]
-    return [w]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_words(words: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([None if w is None else [light_stem(x, k or "en") for x in w] for w, k in zip(words, language)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_compounds(words: pd.Series) -> pd.Series:
-    return pd.Series([None if w is None else [p for x in w for p in compound_parts(x)] for w in words])
+# What a middle part of a compound without a known tail or link may hold.
+MIDDLES = ["schutz", "ver", "wahl", "grund", "dampf", "schiff"]
+LONGEST_MIDDLE, LEAST_SIDE = 12, 3
+
+
+def light_stem(word: Column, language: Column) -> Column:
+    """The word without its longest ending, if enough is left; words of other languages stay."""
+    out = word
+    for k, endings in ENDINGS.items():
+        out = F.when(language == k, F.regexp_replace(word, rf"^(.{{{LEAST_STEM},}}?)(?:{'|'.join(endings)})$", "$1")).otherwise(out)
+    return out
+
+
+def _middle() -> str:
+    """One alternative for each length of the middle, the longest first; a look-ahead asks what it holds."""
+    each = ["(?=" + "|".join(f".{{0,{n - len(m)}}}{m}" for m in MIDDLES if len(m) <= n) + f")(.{{{n}}})(.{{{LEAST_SIDE},}})$" for n in range(LONGEST_MIDDLE, LEAST_PART - 1, -1)]
+    return "|".join(rf"^(.{{{LEAST_SIDE},}}?){x}" for x in each)
+
+
+def compound_parts(word: Column) -> Column:
+    """The word in lower case, and its parts where one of four forms divides it: head, "grund" and tail; head and tail; parts around a link, the longest first part; parts around a telling middle."""
+    w, tails = F.lower(word), "|".join(COMPOUND_TAILS)
+    forms = [rf"^(.{{{LEAST_PART},}}?)(grund)({tails})$", rf"^(.{{{LEAST_PART},}}?)({tails})$", rf"^(.{{{LEAST_PART},}})(?:{'|'.join(LINKS)})(.{{{LEAST_PART},}})$"]
+    out = F.array(w)
+    # The middle's alternatives have three groups each, of which those that matched are not empty.
+    middle = F.filter(F.array(*[F.regexp_extract(w, _middle(), i) for i in range(1, 3 * (LONGEST_MIDDLE - LEAST_PART + 1) + 1)]), lambda x: x != "")
+    out = F.when(w.rlike(_middle()), F.concat(F.array(w), middle)).otherwise(out)
+    for form in reversed(forms):
+        out = F.when(w.rlike(form), F.array(w, *[F.regexp_extract(w, form, i + 1) for i in range(3 if "(grund)" in form else 2)])).otherwise(out)
+    return F.when(F.char_length(w) < LEAST_COMPOUND, F.array(w)).otherwise(out)
+
+
+def stem_words(words: Column, language: Column) -> Column:
+    return F.transform(words, lambda w: light_stem(w, language))
+
+
+def split_compounds(words: Column) -> Column:
+    return F.flatten(F.transform(words, compound_parts))

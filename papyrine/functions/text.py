@@ -117,10 +117,10 @@ def with_prompt(t: Column, prompts: dict[str, str] | None, name: str | None) ->
     return F.concat(F.lit(prefix), t) if prefix else t
 
 
-def guess_language(t: Column, words: dict[str, list[str]] | None = None, default: str = "en", head: int = 500) -> Column:
-    """Language whose function words are the most in the first ``head`` characters; ties and none give the default."""
+def guess_language(t: Column, words: dict[str, list[str]] | None = None, default: str = "en", head: int | None = 500) -> Column:
+    """Language whose function words are the most in the first ``head`` characters (None: all); ties and none give the default."""
     words = words or FUNCTION_WORDS
-    found = tokens(F.substring(t, 1, head), 1)
+    found = tokens(t if head is None else F.substring(t, 1, head), 1)
     score = lambda k: F.size(F.filter(found, lambda x: x.isin(words[k])))
     order = [default, *sorted(k for k in words if k != default)]
     best = F.greatest(*[F.struct(score(k).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(order)])

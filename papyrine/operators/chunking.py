@@ -63,19 +63,19 @@ def legal_nodes(text: str) -> list[Node]:
 
 
 def plain_nodes(text: str) -> list[Node]:
-    """Capitals, numbers and Roman numbers as levels 1 to 3; of overlapping nodes the higher one stays."""
-    all_nodes = []
-    for level, p in enumerate(_PLAIN, 1):
-        ms = list(p.finditer(text))
-        ends = [m.start() for m in ms[1:]] + [len(text)]
-        all_nodes += [Node(level, "section", m[1].strip(), m.start(), e) for m, e in zip(ms, ends)]
+    """Capitals, numbers and Roman numbers as levels 1 to 3.
+
+    A node ends at the next of its level, so a level covers the text from its first heading on. It
+    counts as far as the first heading of a higher level, and a node that reaches past that is left out.
+    """
     kept: list[Node] = []
-    for n in sorted(all_nodes, key=lambda n: n.start):
-        if not kept or n.start >= kept[-1].end:
-            kept.append(n)
-        elif n.level < kept[-1].level:
-            kept[-1] = n
-    return kept
+    border = len(text)
+    for level, p in enumerate(_PLAIN, 1):
+        found = list(p.finditer(text))
+        ends = [m.start() for m in found[1:]] + [len(text)]
+        kept += [Node(level, "section", m[1].strip(), m.start(), e) for m, e in zip(found, ends) if e <= border]
+        border = min([border, *(m.start() for m in found[:1])])
+    return sorted(kept, key=lambda n: n.start)
 
 
 def text_format(t):

@@ -15,8 +15,8 @@ from papyrine.functions.text import clean_text
 from papyrine.operators.graph import connected_components
 from papyrine.plans.layout import cut, spread
 
-#: Signature length, bands and rows of a band for a threshold of 0.8, and words of a shingle.
-PERMUTATIONS, BANDS, ROWS, SHINGLE = 117, 9, 13, 5
+#: Signature length and words of a shingle.
+PERMUTATIONS, SHINGLE = 117, 5
 PRIME = 2_147_483_647
 #: Verified pairs: the similarity, and bands that miss a pair at it with probability (1 - 0.8**4)**29 = 2e-7.
 SIMILAR, FINE_BANDS, FINE_ROWS = 0.8, 29, 4
@@ -86,15 +86,6 @@ def _sign(shingles: DataFrame, key: str) -> DataFrame:
     return shingles.mapInPandas(run, f"{key} {dict(shingles.dtypes)[key]}, h string, signature array<long>")
 
 
-def candidate_pairs(signatures: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(a, b), a < b: representatives that share a band."""
-    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.md5(F.array_join(F.slice("signature", k * ROWS + 1, ROWS), ",")).alias("h")) for k in range(BANDS)]))
-    rows = signatures.select(F.col(key), bands.alias("x")).select(key, "x.band", "x.h")
-    # A bucket's members are linked to its least, a star: the groups are the same and the links never number the square.
-    least = rows.groupBy("band", "h").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(least, ["band", "h"]).where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b")).distinct()
-
-
 def all_candidate_pairs(signatures: DataFrame, key: str = "doc_id") -> DataFrame:
     """(a, b), a < b: every two representatives that share one of FINE_BANDS bands."""
     bands = F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * FINE_ROWS + 1, FINE_ROWS)) for k in range(FINE_BANDS)])
@@ -172,12 +163,6 @@ def _same_sets(s: DataFrame, key: str) -> DataFrame:
     return s.join(s.groupBy("h").agg(F.min(key).alias("a")), "h").where(F.col("a") != F.col(key)).select("a", F.col(key).alias("b"))
 
 
-def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Clusters of all documents: equal shingle sets, then banded candidates between different ones."""
-    sig = cut(minhash(documents, key, text))
-    return clusters(documents, cut(_same_sets(hashed_shingles(documents, key, text).select(key, "h"), key).unionByName(candidate_pairs(sig, key))), key, text)
-
-
 def verified_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Clusters of all documents: equal shingle sets, then verified pairs of different ones."""
     signed = signed_documents(documents, key, text)
@@ -185,6 +170,20 @@ def verified_groups(documents: DataFrame, key: str = "doc_id", text: str = "text
     return clusters(documents, cut(_same_sets(signed.select(key, "h"), key).unionByName(links)), key, text)
 
 
+def semantic_clusters(vectors: DataFrame, edges: DataFrame, copies: DataFrame, metrics: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(key, cluster_id, canonical, size) of every vector: components of the similarity graph.
+
+    ``edges`` (src, dst) link representatives, ``copies`` (rep, id) name equal vectors. The member with
+    the greatest metric (key, metric; null counts 0) stands for its cluster, ties by key; single vectors for themselves.
+    """
+    # Copies follow their representative, so a group of them is never a star in the graph.
+    component = connected_components(edges.select("src", "dst")).select(F.col("node").alias("rep"), F.col("component").alias("cluster_id"))
+    named = copies.select("rep", F.col("id").alias(key)).join(component, "rep", "left").select(key, F.coalesce("cluster_id", "rep").alias("cluster_id"))
+    m = vectors.select(key).join(named, key).join(metrics, key, "left")
+    best = representative_by_metric(m, "cluster_id", key, F.col("metric")).withColumnRenamed("representative", "canonical")
+    return m.join(best, "cluster_id").select(key, "cluster_id", "canonical", "size")
+
+
 def representative_by_metric(members: DataFrame, cluster: str, key: str, metric) -> DataFrame:
     """(cluster, representative, size): the member of the greatest metric, ties by key."""
     return members.groupBy(cluster).agg(F.max_by(key, F.struct(F.coalesce(metric, F.lit(0.0)), -F.col(key))).alias("representative"), F.count("*").alias("size"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.operators.sparse import top_k
+from papyrine.plans.ordered import exact_percentiles
 
 #: Query vectors held by a task at a time; more are searched in blocks.
 QUERY_BLOCK = 4096
@@ -81,14 +82,17 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
 
 
 def hot_cold(vectors: DataFrame, share: float = 0.2, key: str = "doc_id") -> DataFrame:
-    """Adds ``tier``: hot for the first share of the rows by key (one at least), else cold.
+    """Adds ``tier``: hot for the first share of the rows by a numeric key (one at least), else cold.
 
-    The border is a quantile of the keys, so no task orders all rows.
+    The border is an exact percentile of the keys, so no task orders all rows. Rows without a key are cold.
     """
-    n = vectors.count()
-    hot = max(1, int(n * share)) if n else 0
-    ranked = vectors.select(F.col(key)).orderBy(key).limit(hot).agg(F.max(key).alias("border"))
-    return vectors.crossJoin(ranked).withColumn("tier", F.when(F.col(key) <= F.col("border"), "hot").otherwise("cold")).drop("border")
+    n = vectors.where(F.col(key).isNotNull()).count()
+    if not n:
+        return vectors.withColumn("tier", F.lit("cold"))
+    # Halfway between the last hot key and the next, where keys are numbers.
+    place = min(1.0, (max(1, int(n * share)) - 0.5) / max(1, n - 1))
+    border = exact_percentiles(vectors, [], key, {"border": place}).first().border
+    return vectors.withColumn("tier", F.when(F.col(key) <= F.lit(border), "hot").otherwise("cold"))
 
 
 def merge_tiers(hot: DataFrame, cold: DataFrame, k: int, key: str = "doc_id") -> DataFrame:

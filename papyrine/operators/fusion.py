@@ -26,10 +26,11 @@ def combine(sparse: DataFrame, dense: DataFrame, top: int = 3, k: float = RRF_K,
 
 
 def sweep(sparse: DataFrame, dense: DataFrame, grid: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``rrf`` for each row (k, ws, wb) of a parameter grid, in one job."""
+    """``rrf`` for each row (k, ws, wb) of a parameter grid, in one job. The grid is a parameter: each candidate carries it as an array."""
     s = sparse.select("qid", key, F.col("rnk").alias("sr"))
     d = dense.select("qid", key, F.col("rnk").alias("dr"))
-    each = s.join(d, ["qid", key], "full").crossJoin(F.broadcast(grid.limit(1000)))
+    cells = F.array(*[F.struct(F.lit(float(r.k)).alias("k"), F.lit(float(r.ws)).alias("ws"), F.lit(float(r.wb)).alias("wb")) for r in grid.toLocalIterator()])
+    each = s.join(d, ["qid", key], "full").select("*", F.explode(cells).alias("_g")).select("*", "_g.*")
     part = lambda w, r: F.coalesce(F.col(w) / (F.col("k") + F.col(r)), F.lit(0.0))
     return each.select("k", "ws", "wb", "qid", key, (part("wb", "sr") + part("ws", "dr")).alias("score"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.operators.dense import cosine_top_k, unit
+from papyrine.plans.ordered import by_range, running_sum
 
 GROUP = 5
 SUMMARY_PARTS, SUMMARY_CHARS, KEYWORDS = 3, 500, 10
@@ -40,8 +41,12 @@ def assign_noise(clustered: DataFrame, key: str = "doc_id", vector: str = "embed
 
 
 def sequential_groups(chunks: DataFrame, within: str, order: str, size: int = GROUP) -> DataFrame:
-    """Adds ``grp``: groups of ``size`` consecutive chunks of each ``within``."""
-    return chunks.withColumn("grp", F.floor((F.row_number().over(Window.partitionBy(within).orderBy(order)) - 1) / size).cast("long"))
+    """Adds ``grp``: groups of ``size`` consecutive chunks of each ``within``, which must not be null.
+
+    A source of any size is numbered in ranges, with what stands before a range carried over. ``order`` must tell all rows apart.
+    """
+    i = running_sum(by_range(chunks, [within], [order]), [within], "chunk", [order], F.lit(1), "_i")
+    return i.withColumn("grp", F.floor((F.col("_i") - 1) / size).cast("long")).drop("_i", "chunk")
 
 
 def roll_up(chunks: DataFrame, by: list[str], key: str, summary: str, keywords: str, category: str, size: str) -> DataFrame:

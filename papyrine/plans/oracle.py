@@ -108,7 +108,7 @@ _SHINGLE = f"""rw AS (SELECT doc_id, {raw('text')} AS w FROM documents),
 
 
 def minhash() -> str:
-    from papyrine.operators.dedup import BANDS, PERMUTATIONS, PRIME, ROWS, permutation
+    from papyrine.operators.dedup import FINE_BANDS, FINE_ROWS, PERMUTATIONS, PRIME, permutation
 
     perms = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(map(permutation, range(PERMUTATIONS))))
     return f"""{_SHINGLE},
@@ -116,9 +116,13 @@ def minhash() -> str:
     xs AS (SELECT doc_id, CAST('0x' || substr(s, 1, 7) AS BIGINT) AS x FROM sh JOIN reps USING (doc_id)),
     mh AS (SELECT doc_id, i, min((x * a + b) % {PRIME}) AS m FROM xs CROSS JOIN pm GROUP BY doc_id, i),
     sg AS (SELECT doc_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS s FROM mh GROUP BY doc_id),
-    bd AS (SELECT doc_id, i // {ROWS} AS band, md5(string_agg(CAST(m AS VARCHAR), ',' ORDER BY i)) AS h FROM mh WHERE i < {BANDS * ROWS} GROUP BY doc_id, i // {ROWS}),
-    bl AS (SELECT band, h, min(doc_id) AS a FROM bd GROUP BY band, h HAVING count(*) > 1),
-    cp AS (SELECT DISTINCT a, doc_id AS b FROM bd JOIN bl USING (band, h) WHERE a <> doc_id)"""
+    bd AS (SELECT doc_id, i // {FINE_ROWS} AS band, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS h FROM mh WHERE i < {FINE_BANDS * FINE_ROWS} GROUP BY doc_id, i // {FINE_ROWS}),
+    cp AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bd x JOIN bd y USING (band, h) WHERE x.doc_id < y.doc_id)"""
+
+
+_SIMILAR = f"""{_SHINGLE}, rs AS (SELECT doc_id, s FROM sh JOIN reps USING (doc_id)), rn AS (SELECT doc_id, count(*) AS n FROM rs GROUP BY doc_id),
+    bo AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM rs x JOIN rs y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    cp AS (SELECT a, b, c / (p.n + q.n - c)::DOUBLE AS similarity FROM bo JOIN rn p ON p.doc_id = a JOIN rn q ON q.doc_id = b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8)"""
 
 
 _LINKS = """lk AS (SELECT a, b FROM cp UNION SELECT r.doc_id AS a, hs.doc_id AS b FROM hs JOIN reps r USING (h) WHERE r.doc_id <> hs.doc_id),
@@ -132,11 +136,37 @@ def _guessed() -> str:
 
     order = ["en", *sorted(k for k in FUNCTION_WORDS if k != "en")]
     rows = ", ".join(f"({i}, '{k}', [{', '.join(repr(w) for w in FUNCTION_WORDS[k])}])" for i, k in enumerate(order))
-    return rf"""WITH l AS (SELECT * FROM (VALUES {rows}) v(i, k, ws)), t AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 500)), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+    return rf"""WITH l AS (SELECT * FROM (VALUES {rows}) v(i, k, ws)), t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
         c AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_filter(w, lambda x: list_contains(ws, x))) DESC, i) AS r FROM t CROSS JOIN l)
         SELECT doc_id, k AS language FROM c WHERE r = 1"""
 
 
+def _stems() -> str:
+    from papyrine.functions.stemming import ENDINGS, LEAST_STEM
+
+    cases = " ".join(f"WHEN '{k}' THEN regexp_replace(x, '^(.{{{LEAST_STEM},}}?)(?:{'|'.join(e)})$', '\\1')" for k, e in ENDINGS.items())
+    return f"""SELECT doc_id, CAST(count(DISTINCT CASE language {cases} ELSE x END) AS INTEGER) AS stems FROM ({_guessed()}) g JOIN (SELECT doc_id, unnest(CASE WHEN len({tok('text')}) = 0 THEN [NULL] ELSE {tok('text')} END) AS x FROM documents WHERE text IS NOT NULL) USING (doc_id) GROUP BY doc_id
+        UNION ALL SELECT doc_id, -1 FROM documents WHERE text IS NULL"""
+
+
+def _compounds() -> str:
+    from papyrine.functions.stemming import COMPOUND_TAILS, LINKS, MIDDLES
+
+    tails, three, two, link = "|".join(COMPOUND_TAILS), "^(.{4,}?)grund(?:{t})$", "^(.{4,}?)({t})$", f"^(.{{4,}})(?:{'|'.join(LINKS)})(.{{4,}})$"
+    three, two = three.replace("{t}", tails), two.replace("{t}", tails)
+    size = "least(12, length(x) - 6)"
+    spot = f"list_filter(range(3, length(x) - {size} - 2), lambda i: regexp_matches(substr(x, CAST(i AS BIGINT) + 1, {size}), '{'|'.join(MIDDLES)}'))[1]"
+    return f"""WITH w AS (SELECT doc_id, {tok('text')} AS ws FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_guessed()}) WHERE language = 'de')),
+        e AS (SELECT doc_id, i, ws[i] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+        p AS (SELECT doc_id, i, CASE WHEN length(x) < 10 THEN x
+            WHEN regexp_matches(x, '{three}') THEN x || ' ' || regexp_extract(x, '{three}', 1) || ' grund ' || substr(x, length(regexp_extract(x, '{three}', 1)) + 6)
+            WHEN regexp_matches(x, '{two}') THEN x || ' ' || regexp_extract(x, '{two}', 1) || ' ' || regexp_extract(x, '{two}', 2)
+            WHEN regexp_matches(x, '{link}') THEN x || ' ' || regexp_extract(x, '{link}', 1) || ' ' || regexp_extract(x, '{link}', 2)
+            WHEN {spot} IS NOT NULL THEN x || ' ' || substr(x, 1, {spot}) || ' ' || substr(x, {spot} + 1, {size}) || ' ' || substr(x, {spot} + {size} + 1)
+            ELSE x END AS ps FROM e)
+        SELECT w.doc_id, CAST(len(any_value(ws)) AS INTEGER) AS words, md5(coalesce(string_agg(ps, ' ' ORDER BY i), '')) AS parts_md5 FROM w LEFT JOIN p USING (doc_id) GROUP BY w.doc_id"""
+
+
 def _audit() -> str:
     from papyrine.functions.text import QUERY_PHRASES
 
@@ -295,11 +325,18 @@ def oracle_sql() -> dict[str, str]:
     sql["hash_ids"] = "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents"
     sql["minhash_signatures"] = f"WITH {minhash()} SELECT doc_id, md5(s) AS signature_md5 FROM sg"
     sql["lsh_candidate_pairs"] = f"WITH {minhash()} SELECT a AS doc_id_a, b AS doc_id_b FROM cp"
-    sql["dedup_clusters"] = f"""WITH RECURSIVE {minhash()}, {_LINKS}
+    sql["dedup_pairs"] = f"WITH {_SIMILAR} SELECT a AS doc_id_a, b AS doc_id_b, round(similarity, 6) AS similarity FROM cp"
+    sql["dedup_clusters"] = f"""WITH RECURSIVE {_SIMILAR}, {_LINKS}
         SELECT doc_id, cluster_id, first_value(doc_id) OVER (PARTITION BY cluster_id ORDER BY length(text) DESC, doc_id) AS canonical FROM comp JOIN documents USING (doc_id)"""
-    sql["dedup_stats"] = f"WITH RECURSIVE {minhash()}, {_LINKS} SELECT n, count(*) AS clusters FROM (SELECT cluster_id, count(*) AS n FROM comp GROUP BY cluster_id) GROUP BY n"
-    sql["semantic_edges"] = """WITH v AS (SELECT min(vec_id) AS id, vector AS v FROM vectors WHERE dim = 64 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY vector)
-        SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 6) AS weight FROM v a JOIN v b ON a.id < b.id WHERE round(list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 9) >= 0.92"""
+    sql["dedup_stats"] = f"WITH RECURSIVE {_SIMILAR}, {_LINKS} SELECT n, count(*) AS clusters FROM (SELECT cluster_id, count(*) AS n FROM comp GROUP BY cluster_id) GROUP BY n"
+    edges = """u AS (SELECT vec_id, min(vector) AS v FROM vectors WHERE vec_id IS NOT NULL AND dim IN (32, 64) AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+        v AS (SELECT min(vec_id) AS id, v, len(v) AS k FROM u GROUP BY v),
+        ed AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS weight FROM v a JOIN v b ON a.k = b.k AND a.id < b.id WHERE round(list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 9) >= 0.92)"""
+    sql["semantic_edges"] = f"WITH {edges} SELECT src, dst, round(weight, 6) AS weight FROM ed"
+    sql["semantic_clusters"] = f"""WITH RECURSIVE {edges}, lk AS (SELECT src AS x, dst AS y FROM ed UNION SELECT dst, src FROM ed UNION SELECT v.id, u.vec_id FROM u JOIN v ON u.v = v.v UNION SELECT u.vec_id, v.id FROM u JOIN v ON u.v = v.v),
+        reach(x, y) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.x, lk.y FROM reach r JOIN lk ON r.y = lk.x), comp AS (SELECT x AS vec_id, min(y) AS cluster_id FROM reach GROUP BY x),
+        me AS (SELECT vec_id, length(text) AS metric FROM (SELECT vec_id, min(doc_id) AS doc_id FROM vectors WHERE doc_id IS NOT NULL GROUP BY vec_id) LEFT JOIN documents USING (doc_id))
+        SELECT vec_id, cluster_id, first_value(vec_id) OVER (PARTITION BY cluster_id ORDER BY coalesce(metric, 0) DESC, vec_id) AS canonical, count(*) OVER (PARTITION BY cluster_id) AS size FROM comp LEFT JOIN me USING (vec_id)"""
     sql["dedup_results_by_content"] = f"""{base} SELECT qid, doc_id, rnk FROM (SELECT s.*, row_number() OVER (PARTITION BY qid, {clean('d.text')} ORDER BY rnk) AS n FROM sp s JOIN documents d USING (doc_id)) WHERE n = 1"""
     sql["cluster_representatives"] = """SELECT source || '/' || coalesce(lang, '?') AS cluster, arg_max(doc_id, length(text) * 1000000::BIGINT - doc_id) AS representative, count(*) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1"""
 
@@ -307,11 +344,11 @@ def oracle_sql() -> dict[str, str]:
         u AS (SELECT c, i, e[i] / n AS x FROM (SELECT c, e, n, unnest(range(1, len(e) + 1)) AS i FROM v WHERE c >= 0)), m AS (SELECT c, i, avg(CAST(x AS DOUBLE)) AS x FROM u GROUP BY c, i), k AS (SELECT c, list(x ORDER BY i) AS z FROM m GROUP BY c),
         s AS (SELECT v.doc_id, k.c, row_number() OVER (PARTITION BY v.doc_id ORDER BY {_COS.format(a='v.e', b='k.z')} DESC, k.c) AS r FROM v JOIN k ON v.c < 0)
         SELECT doc_id, c AS cluster FROM v WHERE c >= 0 UNION ALL SELECT doc_id, c FROM s WHERE r = 1"""
-    sql["scaffold_sequential"] = """WITH c AS (SELECT *, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS BIGINT) AS grp FROM documents WHERE source IS NOT NULL),
+    sql["scaffold_sequential"] = f"""WITH c AS (SELECT * REPLACE (coalesce(source, '(none)') AS source), {sentences('text')}[1] AS head, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS BIGINT) AS grp FROM documents),
         k AS (SELECT source, grp, coalesce(lang, '?') AS l, count(*) AS n FROM c GROUP BY 1, 2, 3), b AS (SELECT source, grp, l FROM (SELECT *, row_number() OVER (PARTITION BY source, grp ORDER BY n DESC, l) AS r FROM k) WHERE r = 1),
         f AS (SELECT source, grp, coalesce(lang, '?') AS l, min(doc_id) AS d FROM c GROUP BY 1, 2, 3), w AS (SELECT source, grp, string_agg(l, ',' ORDER BY d) AS keywords FROM f GROUP BY 1, 2),
         g AS (SELECT source, grp, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS chunk_ids, CAST(sum(length(text)) AS BIGINT) AS original_size FROM c GROUP BY 1, 2),
-        t AS (SELECT source, grp, substr(string_agg(substr(text, 1, 80), ' ' ORDER BY doc_id), 1, 500) AS s FROM (SELECT *, row_number() OVER (PARTITION BY source, grp ORDER BY doc_id) AS r FROM c) WHERE r <= 3 GROUP BY 1, 2)
+        t AS (SELECT source, grp, substr(string_agg(head, ' ' ORDER BY doc_id), 1, 500) AS s FROM (SELECT *, row_number() OVER (PARTITION BY source, grp ORDER BY doc_id) AS r FROM c WHERE head IS NOT NULL) WHERE r <= 3 GROUP BY 1, 2)
         SELECT source, grp, chunk_ids, md5(s) AS summary_md5, keywords, l AS category, original_size, round(length(s) / CAST(greatest(original_size, 1) AS DOUBLE), 6) AS ratio FROM g JOIN t USING (source, grp) JOIN w USING (source, grp) JOIN b USING (source, grp)"""
     sql["scaffold_expand"] = f"""WITH s AS (SELECT vec_id // 5 AS g, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY 1), q AS ({STATED}),
         r AS (SELECT qid, g, {_COS.format(a='qvec', b='e')} AS sc, row_number() OVER (PARTITION BY qid ORDER BY round({_COS.format(a='qvec', b='e')}, 6) DESC, g) AS n FROM q CROSS JOIN s)
@@ -345,6 +382,8 @@ def oracle_sql() -> dict[str, str]:
     sql["questions_to_corpus"] = """WITH q AS (SELECT md5(question) AS qid, from_json(contexts, '["VARCHAR"]') AS ds FROM evaluations WHERE question IS NOT NULL), e AS (SELECT qid, md5(unnest(ds)) AS doc_id FROM q)
         SELECT DISTINCT 'corpus' AS part, doc_id AS id FROM e WHERE doc_id IS NOT NULL UNION ALL SELECT DISTINCT 'query', qid FROM q UNION ALL SELECT DISTINCT 'judgement', qid || '/' || doc_id FROM e WHERE doc_id IS NOT NULL"""
     sql["guessed_language"] = _guessed()
+    sql["light_stems"] = _stems()
+    sql["german_compound_split"] = _compounds()
     sql["enriched_chunks"] = rf"""WITH t AS (SELECT doc_id, {sentences('text')} AS s, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
         d AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(w) AS x FROM t) WHERE length(x) >= 5), k AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY length(x) DESC, x) AS r FROM d),
         g AS (SELECT doc_id, string_agg(x, ',' ORDER BY r) AS keywords FROM k WHERE r <= 5 GROUP BY doc_id)

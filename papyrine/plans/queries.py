@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papyrine.functions import stemming, templates, text
 from papyrine.operators import catalog, chunking, dedup, dense, evaluate, fusion, logs, rerank, routing, scaffold, sparse
 from papyrine.plans.layout import cut, spread, table
-from papyrine.plans.ordered import rolling_mean
+from papyrine.plans.ordered import exact_percentiles, rolling_mean
 from papyrine.sources import readers, writers
 
 REGISTRY: dict = {}
@@ -402,55 +402,44 @@ def minhash_signatures(spark, d):
 
 @query
 def lsh_candidate_pairs(spark, d):
-    return dedup.candidate_pairs(cut(dedup.minhash(_docs(spark, d)))).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
-
-
-@query
-def dedup_clusters(spark, d):
-    return dedup.near_groups(_docs(spark, d))
-
-
-@query
-def dedup_stats(spark, d):
-    g = dedup.near_groups(_docs(spark, d)).groupBy("cluster_id").agg(F.count("*").alias("n"))
-    return g.groupBy("n").agg(F.count("*").alias("clusters"))
-
-
-@query
-def lsh_all_candidate_pairs(spark, d):
-    """Every pair of a bucket; lsh_candidate_pairs holds to its SQL, which links a bucket's members to the least only."""
+    """Every two different shingle sets that share a band."""
     return dedup.all_candidate_pairs(cut(dedup.minhash(_docs(spark, d)))).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 @query
-def dedup_verified_pairs(spark, d):
-    """Pairs of different shingle sets at 0.8 or more; dedup_clusters holds to the bands of its SQL, which miss some."""
+def dedup_pairs(spark, d):
+    """Pairs of different shingle sets at 0.8 or more, verified on the whole sets."""
     return dedup.verified_pairs(_docs(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), _r("similarity").alias("similarity"))
 
 
 @query
-def dedup_verified_clusters(spark, d):
+def dedup_clusters(spark, d):
     return dedup.verified_groups(_docs(spark, d))
 
 
 @query
-def dedup_verified_stats(spark, d):
+def dedup_stats(spark, d):
     g = dedup.verified_groups(_docs(spark, d)).groupBy("cluster_id").agg(F.count("*").alias("n"))
     return g.groupBy("n").agg(F.count("*").alias("clusters"))
 
 
+def _usable_vectors(spark, d):
+    """One usable vector of each vec_id, each length apart."""
+    v = table(spark, d, "vectors").where("vec_id is not null and dim in (64, 32) and size(vector) = dim and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))").where(dense.norm(F.col("vector")) > 0)
+    return v.groupBy("vec_id").agg(F.min_by("vector", F.struct("stored_at", "vector")).alias("vector"))
+
+
 @query
 def semantic_edges(spark, d):
-    v = table(spark, d, "vectors").where("dim = 64 and size(vector) = 64 and not exists(vector, x -> isnan(x) or abs(x) > 1e30)").where(dense.norm(F.col("vector")) > 0)
-    return dense.semantic_edges(v, 0.92, None, key="vec_id", vector="vector").select("src", "dst", _r("weight").alias("weight"))
+    return dense.semantic_edges(_usable_vectors(spark, d), 0.92, None, key="vec_id", vector="vector").select("src", "dst", _r("weight").alias("weight"))
 
 
 @query
-def semantic_edges_all_dims(spark, d):
-    """Edges of all usable vectors, each length apart; semantic_edges holds to the one length of its SQL."""
-    v = table(spark, d, "vectors").where("vec_id is not null and dim in (64, 32) and size(vector) = dim and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))").where(dense.norm(F.col("vector")) > 0)
-    v = v.groupBy("vec_id").agg(F.min_by("vector", F.struct("stored_at", "vector")).alias("vector"))
-    return dense.semantic_edges(v, 0.92, None, key="vec_id", vector="vector").select("src", "dst", _r("weight").alias("weight"))
+def semantic_clusters(spark, d):
+    """Edges, their components, a representative of each by its number of characters in the document, and the map of every vector."""
+    v = cut(_usable_vectors(spark, d))
+    texts = table(spark, d, "vectors").where("doc_id is not null").groupBy("vec_id").agg(F.min("doc_id").alias("doc_id")).join(_docs(spark, d).select("doc_id", F.char_length("text").cast("double").alias("metric")), "doc_id", "left").select("vec_id", "metric")
+    return dedup.semantic_clusters(v, dense.semantic_edges(v, 0.92, None, key="vec_id", vector="vector"), dense.representatives(v, "vec_id", "vector"), texts)
 
 
 @query
@@ -489,8 +478,10 @@ def noise_assigned(spark, d):
 
 @query
 def scaffold_sequential(spark, d):
-    c = scaffold.sequential_groups(_docs(spark, d).where("source is not null").select("doc_id", "source", "lang", "text"), "source", "doc_id")
-    c = c.withColumn("summary", F.substring("text", 1, 80)).withColumn("keywords", F.array(F.coalesce("lang", F.lit("?")))).withColumn("category", F.coalesce("lang", F.lit("?"))).withColumn("n", F.char_length("text"))
+    """Scaffolds of five documents in a row of each source; the first sentence sums a document up."""
+    c = _docs(spark, d).select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source"), "lang", "text")
+    c = scaffold.sequential_groups(c, "source", "doc_id")
+    c = c.withColumn("summary", F.try_element_at(text.sentences(F.col("text")), F.lit(1))).withColumn("keywords", F.array(F.coalesce("lang", F.lit("?")))).withColumn("category", F.coalesce("lang", F.lit("?"))).withColumn("n", F.char_length("text"))
     r = scaffold.roll_up(c, ["source", "grp"], "doc_id", "summary", "keywords", "category", "n")
     return r.select("source", "grp", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"), F.md5("summary").alias("summary_md5"), F.array_join("keywords", ",").alias("keywords"), "category", "original_size", _r("ratio").alias("ratio"))
 
@@ -559,8 +550,8 @@ def containment_judgements(spark, d):
 
 @query
 def latency_percentiles(spark, d):
-    e = table(spark, d, "events").groupBy("event_type").agg(*[_r(F.percentile("value", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
-    return e
+    p = exact_percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return p.select("event_type", *[_r(c).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query
@@ -677,7 +668,8 @@ def sanitized_input(spark, d):
 @query
 def chat_template(spark, d):
     """Each conversation as one prompt, messages in order of arrival."""
-    m = table(spark, d, "messages").where("conversation_id is not null and role is not null and content is not null").dropDuplicates(["id"])
+    m = table(spark, d, "messages").where("conversation_id is not null and role is not null and content is not null")
+    m = m.groupBy("id").agg(F.min_by(F.struct("conversation_id", "role", "content", "received_at"), F.struct("received_at", "role", "content")).alias("r")).select("id", "r.*")
     row = F.struct("received_at", "id", F.lower(F.trim("role")).alias("role"), "content")
     g = m.groupBy("conversation_id").agg(F.array_sort(F.collect_list(row)).alias("ms"))
     prompts = [F.md5(templates.render(F.col("ms"), k)).alias(f"{k}_md5") for k in ("llama3", "mistral", "chatml")]
@@ -750,19 +742,22 @@ def keyword_parse(spark, d):
 
 @query
 def guessed_language(spark, d):
-    return _docs(spark, d).select("doc_id", text.guess_language(F.col("text")).alias("language"))
+    """By the function words of whole texts."""
+    return _docs(spark, d).select("doc_id", text.guess_language(F.col("text"), head=None).alias("language"))
 
 
 @query
-def snowball_stem(spark, d):
-    t = _docs(spark, d).select("doc_id", text.tokens(F.col("text")).alias("w"), text.guess_language(F.col("text")).alias("k"))
+def light_stems(spark, d):
+    """How many different stems each document has, by the rules of its guessed language."""
+    t = _docs(spark, d).select("doc_id", text.tokens(F.col("text")).alias("w"), text.guess_language(F.col("text"), head=None).alias("k"))
     return t.select("doc_id", F.size(F.array_distinct(stemming.stem_words(F.col("w"), F.col("k")))).alias("stems"))
 
 
 @query
 def german_compound_split(spark, d):
-    t = _docs(spark, d).where("lang = 'de'").select("doc_id", text.tokens(F.col("text")).alias("w"))
-    return t.select("doc_id", F.size("w").alias("words"), F.size(stemming.split_compounds(F.col("w"))).alias("parts"))
+    """Parts of the words of every document that reads as German, whatever its label."""
+    t = _docs(spark, d).where(text.guess_language(F.col("text"), head=None) == "de").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    return t.select("doc_id", F.size("w").alias("words"), F.md5(F.array_join(stemming.split_compounds(F.col("w")), " ")).alias("parts_md5"))
 
 
 @query

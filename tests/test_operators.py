@@ -35,10 +35,42 @@ def test_keywords_and_ids(spark):
     assert one(spark, "der und die", text.guess_language) == "de" and one(spark, "zzz", text.guess_language) == "en"
 
 
-def test_stems_and_compounds():
-    assert stemming.light_stem("gatti", "it") == stemming.light_stem("gatto", "it") == "gatt"
-    assert stemming.compound_parts("Datenschutzgrundverordnung") == ["datenschutzgrundverordnung", "datenschutz", "grund", "verordnung"]
-    assert stemming.compound_parts("kurz") == ["kurz"]
+def test_stems_and_compounds(spark):
+    stem = lambda w, k: one(spark, w, lambda c: stemming.light_stem(c, F.lit(k)))
+    parts = lambda w: one(spark, w, stemming.compound_parts)
+    assert stem("gatti", "it") == stem("gatto", "it") == "gatt" and stem("walks", "xx") == "walks" and stem("ties", "en") == "ties"
+    assert parts("Datenschutzgrundverordnung") == ["datenschutzgrundverordnung", "datenschutz", "grund", "verordnung"]
+    assert parts("kurz") == ["kurz"] and parts("Umsatzsteuer") == ["umsatzsteuer", "umsatz", "steuer"]
+    assert parts("Arbeitsvertrag") == ["arbeitsvertrag", "arbeitsv", "rtrag"] and parts("Rathausplatz") == ["rathausplatz", "rathau", "platz"]
+    assert parts("rockwahlquiz") == ["rockwahlquiz", "roc", "kwahlq", "uiz"] and parts("aaabbbbcccdddd") == ["aaabbbbcccdddd"]
+
+
+def test_plain_nodes():
+    t = "I. early\nx\n1. Intro\na\nII. mid\nb\nTITLE ONE\nc\n2. Later\nd\nTITLE TWO\ne\n"
+    got = [(n.level, n.title) for n in chunking.plain_nodes(t)]
+    assert got == [(1, "TITLE ONE"), (1, "TITLE TWO")]
+    assert [(n.level, n.title) for n in chunking.plain_nodes("1. One\na\n2. Two\nI. x\n3. Three\n")] == [(2, "1. One"), (2, "2. Two"), (2, "3. Three")]
+    assert [(n.level, n.title) for n in chunking.plain_nodes("I. x\nII. y\n1. One\nb\n")] == [(3, "I. x"), (2, "1. One")]
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k, vs in {"a": rng.lognormal(0, 2, 5000), "b": np.repeat([1.0, 2.0], [30, 70]), "c": [7.0]}.items() for v in vs] + [("c", None), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in ordered.exact_percentiles(df, ["g"], "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}).collect()}
+    for k in "abc":
+        v = [x for g, x in rows if g == k and x is not None]
+        assert got[k].n == len(v) and np.allclose([got[k].p0, got[k].p50, got[k].p99, got[k].p100], np.percentile(v, [0, 50, 99, 100]))
+
+
+def test_no_plan_orders_all_rows(spark):
+    v = spark.range(1000).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0)).alias("embedding"))
+    t = dense.hot_cold(v)
+    assert t.where("tier = 'hot'").agg(F.max("doc_id")).first()[0] == 199 and t.where("tier = 'hot'").count() == 200
+    assert "TakeOrdered" not in t._jdf.queryExecution().executedPlan().toString()
+    assert dense.hot_cold(v.limit(1)).first().tier == "hot" and dense.hot_cold(v.limit(0)).count() == 0
+    g = scaffold.sequential_groups(v.withColumn("source", F.lit("s")), "source", "doc_id")
+    assert sorted((r.grp, r["count"]) for r in g.groupBy("grp").count().collect()) == [(i, 5) for i in range(200)]
 
 
 def test_bm25(spark):
@@ -121,10 +153,10 @@ def test_components(spark):
     assert graph.connected_components(e.limit(0)).count() == 0
 
 
-def test_near_groups(spark):
+def test_groups_of_copies(spark):
     base = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, base), (2, base), (3, base + " tail"), (4, "quite another text with few words"), (5, None), (6, "")], "doc_id long, text string")
-    got = {r.doc_id: (r.cluster_id, r.canonical) for r in dedup.near_groups(docs).collect()}
+    got = {r.doc_id: (r.cluster_id, r.canonical) for r in dedup.verified_groups(docs).collect()}
     assert got[1] == got[2] == got[3] == (1, 3) and got[4] == (4, 4) and got[5] == (5, 5)
     assert {(r.doc_id, r.copies) for r in dedup.exact_groups(docs).collect()} == {(1, 2), (2, 2), (3, 1), (4, 1), (6, 1)}
 
@@ -187,7 +219,7 @@ def test_semantic_edges_of_all_dims(spark, tmp_path):
                 if x_ @ y_ / np.linalg.norm(x_) / np.linalg.norm(y_) >= 0.92:
                     want.add((a, b))
     assert {len(rows[a][1]) for a, _ in want} == {32, 64}
-    assert {(r.src, r.dst) for r in queries.semantic_edges_all_dims(spark, str(tmp_path)).collect()} == want
+    assert {(r.src, r.dst) for r in queries.semantic_edges(spark, str(tmp_path)).collect()} == want
 
 
 def test_dense_and_edges(spark):
