@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.shingles import shingle_sets
-from papyrine.plans.layout import cut, spread
+from papyrine.plans.layout import cut, drop, spread
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -154,7 +154,7 @@ def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: representatives that share a band, each pair once."""
+    """(a, b), a < b: representatives that share a band, each pair once, written."""
     rows = _bands(reps)
     n = max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = cut(rows.repartition(n, "band").sortWithinPartitions("band").mapInPandas(_bucket_pairs, "kind int, band long, a long, b long"))
@@ -165,7 +165,9 @@ def _candidates(reps: DataFrame) -> DataFrame:
     spot = spot.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "rep")).alias("m"))
     one, two = F.filter("m", lambda x: x["block"] == F.col("i")), F.filter("m", lambda x: x["block"] == F.col("j"))
     crossed = spot.select(F.explode(one).alias("x"), two.alias("ys")).select("x", F.explode("ys").alias("y")).where("x.rep != y.rep").select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    return pairs.unionByName(crossed).distinct()
+    out = cut(pairs.unionByName(crossed).distinct())
+    drop(found)
+    return out
 
 
 def _promising(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -233,11 +235,16 @@ def similar_pairs(documents: DataFrame, threshold: float = 0.8, key: str = "doc_
     )
     # Only the first of equal sets is banded, so a group of copies is one entry of its buckets.
     reps = cut(signed.join(members.where("rep != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "signature"))
-    pairs = cut(_candidates(reps))
+    drop(signed)
+    pairs = _candidates(reps)
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     few = cut(reps.join(named, "doc_id", "left_semi"))
     survivors = cut(_promising(pairs, few, threshold))
-    return members, cut(_exact(survivors, _texts(documents, key, text), threshold))
+    # What is no longer read goes, so the disk holds one step's tables at a time.
+    drop(reps, pairs, few)
+    links = cut(_exact(survivors, _texts(documents, key, text), threshold))
+    drop(survivors)
+    return members, links
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
