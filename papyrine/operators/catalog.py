@@ -112,15 +112,18 @@ def versions(spark: SparkSession, root: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("v"))
 
 
+def current_version(spark: SparkSession, root: str) -> str:
+    return json.loads(spark.read.text(f"{root}/current.json").first()[0])["version"]
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = json.loads(spark.read.text(f"{root}/current.json").first()[0])["version"]
-    return spark.read.parquet(os.path.join(root, version))
+    return spark.read.parquet(os.path.join(root, current_version(spark, root)))
 
 
 def rollback(spark: SparkSession, root: str) -> str:
     """Points to the version before the current one."""
     all_versions = versions(spark, root)
-    now = json.loads(spark.read.text(f"{root}/current.json").first()[0])["version"]
+    now = current_version(spark, root)
     before = [v for v in all_versions if v < now]
     if not before:
         raise RuntimeError("there is no earlier version")

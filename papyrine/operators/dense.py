@@ -34,51 +34,63 @@ def cosine(a, b):
     return F.when(n > 0, dot / n).otherwise(F.lit(0.0))
 
 
+def query_blocks(queries: DataFrame, size: int | None = None) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, unit vectors) of a stated set of queries (qid, qvec), QUERY_BLOCK at a time and no more of them in memory."""
+    ids, vecs = [], []
+
+    def block() -> tuple[list, np.ndarray]:
+        q = np.array(vecs, np.float64)
+        n = np.linalg.norm(q, axis=1, keepdims=True)
+        return list(ids), np.divide(q, n, out=np.zeros_like(q), where=n > 0)
+
+    for r in queries.select("qid", "qvec").where("qvec is not null").orderBy("qid").toLocalIterator():
+        ids.append(r.qid)
+        vecs.append(r.qvec)
+        if len(ids) == (size or QUERY_BLOCK):
+            yield block()
+            ids, vecs = [], []
+    if ids:
+        yield block()
+
+
+def _best_of(keys: np.ndarray, s: np.ndarray, qids: list, k: int, key: str) -> pd.DataFrame:
+    take = min(k, s.shape[1])
+    order = np.lexsort((np.broadcast_to(keys, s.shape), -np.round(s, 6)), axis=1)[:, :take]
+    best = pd.DataFrame({"qid": np.repeat(qids, take), key: keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+    return best[best["score"] > -1.5]
+
+
+def _units(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_numpy()).astype(np.float64)
+    m = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, m, out=np.zeros_like(x), where=m > 0)
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(qid, key, score, rnk): exact search of a stated set of queries (qid, qvec) over all rows.
 
     Every task multiplies its rows with a block of queries and passes on its own k best,
-    so what is shuffled is k rows per query and batch.
+    so what is shuffled is k rows per query and batch. The queries come through the driver a block at a time.
     """
-    rows = queries.select("qid", "qvec").where("qvec is not null").orderBy("qid").toLocalIterator()
-    ids, vecs, out = [], [], None
     schema = f"qid {dict(queries.dtypes)['qid']}, {key} {dict(vectors.dtypes)[key]}, score double"
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v is not null")
+    out = None
+    for block in query_blocks(queries):
+        held = vectors.sparkSession.sparkContext.broadcast(block)
 
-    def block(ids, vecs) -> DataFrame:
-        qids, q = list(ids), np.array(vecs, np.float64)
-        n = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
-        held = vectors.sparkSession.sparkContext.broadcast((qids, q))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             qids, q = held.value
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                m = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, m, out=np.zeros_like(x), where=m > 0)
-                keys = pdf["k"].to_numpy()
-                s = q @ x.T
-                if exclude_self:
-                    s[np.asarray(qids)[:, None] == keys[None, :]] = -2.0
-                take = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -np.round(s, 6)), axis=1)[:, :take]
-                best = pd.DataFrame({"qid": np.repeat(qids, take), key: keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-                yield best[best["score"] > -1.5]
-
-        return vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v is not null").mapInPandas(run, schema)
-
-    for r in rows:
-        ids.append(r.qid)
-        vecs.append(r.qvec)
-        if len(ids) == QUERY_BLOCK:
-            out = block(ids, vecs) if out is None else out.unionByName(block(ids, vecs))
-            ids, vecs = [], []
-    if ids or out is None:
-        last = block(ids, vecs) if ids else vectors.sparkSession.createDataFrame([], schema)
-        out = last if out is None else out.unionByName(last)
-    return top_k(out, k, key=key)
+                if len(pdf):
+                    keys = pdf["k"].to_numpy()
+                    s = q @ _units(pdf["v"]).T
+                    if exclude_self:
+                        s[np.asarray(qids)[:, None] == keys[None, :]] = -2.0
+                    yield _best_of(keys, s, qids, k, key)
+
+        found = rows.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out if out is not None else vectors.sparkSession.createDataFrame([], schema), k, key=key)
 
 
 def hot_cold(vectors: DataFrame, share: float = 0.2, key: str = "doc_id") -> DataFrame:
@@ -205,14 +217,32 @@ def ivf_lists(vectors: DataFrame, lists: int = 16, key: str = "doc_id", vector:
 
 
 def ivf_search(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 12, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """(qid, key, score, rnk) over the ``probes`` lists nearest to each query."""
+    """(qid, key, score, rnk) over the ``probes`` lists nearest to each query.
+
+    The lists' rows stay where they are: a batch is multiplied, list by list, with the queries that probe the list,
+    and passes on their k best.
+    """
     if len(centroids) == 1:
         return cosine_top_k(indexed, queries, k, key, vector)
-    c = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in centroids])
-    near = F.slice(F.array_sort(F.transform(c, lambda row, i: F.struct((-cosine(F.col("qvec"), row)).alias("d"), i.alias("bucket")))), 1, probes)
-    probed = queries.select("qid", "qvec", F.explode(near).alias("n")).select("qid", "qvec", F.col("n.bucket").alias("bucket"))
-    scored = indexed.join(probed, "bucket").select("qid", key, cosine(F.col("qvec"), F.col(vector)).alias("score"))
-    return top_k(scored, k, key=key)
+    schema = f"qid {dict(queries.dtypes)['qid']}, {key} {dict(indexed.dtypes)[key]}, score double"
+    rows = indexed.select(F.col(key).alias("k"), F.col(vector).alias("v"), "bucket").where("v is not null")
+    out = None
+    unit_centres = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
+    for qids, q in query_blocks(queries):
+        near = np.argsort(-(q @ unit_centres.T), axis=1, kind="stable")[:, :probes]
+        held = indexed.sparkSession.sparkContext.broadcast((np.asarray(qids), q, [np.flatnonzero((near == b).any(1)) for b in range(len(centroids))]))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            qids, q, asking = held.value
+            for pdf in batches:
+                for b, part in pdf.groupby("bucket"):
+                    who = asking[int(b)]
+                    if len(who):
+                        yield _best_of(part["k"].to_numpy(), q[who] @ _units(part["v"]).T, list(qids[who]), k, key)
+
+        found = rows.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out if out is not None else indexed.sparkSession.createDataFrame([], schema), k, key=key)
 
 
 def pq_codes(vectors: DataFrame, parts: int = 8, codes: int = 16, key: str = "doc_id", vector: str = "embedding", sample: int = 50_000, seed: int = 42) -> DataFrame:

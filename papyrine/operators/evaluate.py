@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,17 @@ def ablation(runs: dict[str, DataFrame], qrels: DataFrame, ks: tuple[int, ...] =
     return out
 
 
+def sweep_recall(scored: DataFrame, qrels: DataFrame, by: list[str], k: int = 10, key: str = "doc_id") -> DataFrame:
+    """(by, queries, recall) of each cell of a sweep over (by, qid, key, score): mean recall of the k best over the judged queries."""
+    w = Window.partitionBy(*by, "qid").orderBy(F.round("score", 9).desc(), key)
+    top = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    rel = qrels.where("rel > 0").select("qid", key).distinct()
+    n = rel.groupBy("qid").agg(F.count("*").alias("n"))
+    hits = top.join(rel, ["qid", key], "left_semi").groupBy(*by, "qid").agg(F.count("*").alias("h"))
+    cells = scored.select(*by).distinct().crossJoin(n)
+    return cells.join(hits, [*by, "qid"], "left").groupBy(*by).agg(F.count("*").alias("queries"), F.avg(F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall"))
+
+
 def degradation(full: DataFrame, quantised: DataFrame) -> DataFrame:
     """(mean, sd, least, most, within): drop in recall from one set of per-query metrics to another; within 2 hundredths of the mean."""
     d = full.select("qid", "k", F.col("recall").alias("a")).join(quantised.select("qid", "k", F.col("recall").alias("b")), ["qid", "k"]).withColumn("drop", F.col("a") - F.col("b"))

@@ -59,6 +59,64 @@ def decode_xlsx(data: bytes) -> list[tuple[int, str, str]]:
     return out
 
 
+_PDF_STREAM = re.compile(rb"<<(?P<head>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(?P<body>.*?)\r?\nendstream", re.S)
+_PDF_SHOWN = re.compile(rb"\((?P<text>(?:\\.|[^\\()])*)\)|<(?P<hex>[0-9A-Fa-f\s]+)>|(?P<move>T\*|Td|TD|Tm|'|\")(?![A-Za-z])|(?P<end>ET)(?![A-Za-z])|(?P<back>-?\d+(?:\.\d+)?)", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _pdf_string(raw: bytes) -> str:
+    def one(m):
+        x = m[1]
+        return bytes([int(x, 8) & 255]) if x[:1].isdigit() else _PDF_ESCAPES.get(x, b"" if x in (b"\n", b"\r") else x)
+
+    data = re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S)
+    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+
+
+def decode_pdf(data: bytes) -> list[tuple[int, str, str]]:
+    """The text layer of a PDF, one row for each content stream that shows text, in the order of the file.
+
+    Streams may be deflated; simple fonts are read as Western text. Scanned pages have no text layer and
+    encrypted files cannot be read: both are for a plugged-in decoder, and say so as an error.
+    """
+    import zlib
+
+    if b"/Encrypt" in data:
+        raise ValueError("encrypted")
+    out = []
+    for m in _PDF_STREAM.finditer(data):
+        body = m["body"]
+        if b"FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                continue
+        lines, words = [], []
+        for block in re.findall(rb"(?<![A-Za-z])BT(?![A-Za-z]).*?(?<![A-Za-z])ET(?![A-Za-z])", body, re.S):
+            for t in _PDF_SHOWN.finditer(block):
+                if t["text"] is not None:
+                    words.append(_pdf_string(t["text"]))
+                elif t["hex"] is not None:
+                    h = re.sub(rb"\s", b"", t["hex"])
+                    words.append(_pdf_string(bytes.fromhex((h + b"0" * (len(h) % 2)).decode())))
+                elif t["back"] is not None:
+                    # A wide step back inside a shown array parts words.
+                    if words and float(t["back"]) < -200 and not words[-1].endswith(" "):
+                        words.append(" ")
+                elif words:
+                    lines.append("".join(words))
+                    words = []
+            if words:
+                lines.append("".join(words))
+                words = []
+        if any(x.strip() for x in lines):
+            out.append((len(out) + 1, "text", "\n".join(lines)))
+    if not out:
+        raise ValueError("no text layer")
+    return out
+
+
+register_decoder(".pdf", decode_pdf)
 register_decoder(".docx", decode_docx)
 register_decoder(".xlsx", decode_xlsx)
 
@@ -70,7 +128,7 @@ def discover(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXT
     return f.select("path", ext.alias("extension"), "length", F.col("modificationTime").alias("modified")).where(F.col("extension").isin(*extensions))
 
 
-def read_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".txt", ".md", ".docx", ".xlsx")) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".txt", ".md", ".docx", ".xlsx", ".pdf")) -> DataFrame:
     """(path, file_hash, page, kind, text, error): files decoded by extension; a file that cannot be is a row with its error."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ext = F.lower(F.concat(F.lit("."), F.regexp_extract("path", r"\.([^./]+)$", 1)))

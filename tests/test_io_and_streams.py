@@ -18,6 +18,25 @@ def _xlsx(path):
         z.writestr("xl/worksheets/sheet1.xml", '<sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2"><v>7</v></c></row></sheetData>')
 
 
+def _pdf(pages):
+    import zlib
+
+    out = b"%PDF-1.4\n"
+    for i, (text, deflate) in enumerate(pages):
+        body = zlib.compress(text) if deflate else text
+        out += b"%d 0 obj\n<< /Length %d%s >>\nstream\n" % (i + 4, len(body), b" /Filter /FlateDecode" if deflate else b"") + body + b"\nendstream\nendobj\n"
+    return out + b"%%EOF"
+
+
+def test_pdf_text_layer(spark, tmp_path):
+    one = rb"BT /F1 12 Tf 72 700 Td (Caf\351 \(old\)) Tj 0 -14 Td [(Wo) -20 (rd) -300 (two)] TJ T* <4869> Tj ET"
+    (tmp_path / "a.pdf").write_bytes(_pdf([(one, True), (b"BT 1 0 0 1 72 700 Tm (Page two) Tj ET", False)]))
+    (tmp_path / "b.pdf").write_bytes(_pdf([(b"q 10 0 0 10 0 0 cm /Im1 Do Q", True)]))
+    got = {(r.path.rsplit("/", 1)[1], r.page): r for r in readers.read_files(spark, str(tmp_path)).collect()}
+    assert got["a.pdf", 1].text == "Café (old)\nWord two\nHi" and got["a.pdf", 2].text == "Page two"
+    assert "no text layer" in got["b.pdf", None].error
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.txt").write_text("héllo")

@@ -3,10 +3,10 @@
 import pytest
 from conftest import canonical
 
-from papyrine.plans import oracle, queries
+from papyrine.plans import oracle, queries, service
 
-SQL = oracle.oracle_sql()
-QUERIES = queries.queries()
+SQL = {**oracle.oracle_sql(), **service.oracle_sql()}
+QUERIES = {**queries.queries(), **service.queries()}
 
 
 def test_every_sql_has_a_query():
@@ -20,3 +20,5 @@ def test_query(spark, sf_dir, duck, name):
         want = duck.execute(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert canonical(got) == canonical(want)
+    else:
+        assert len(got) > 0 and not got.isna().all().any()
