@@ -40,6 +40,13 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(table(spark, d, "documents"))
 
 
+def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every split text put together again from its pieces without their overlaps."""
+    p = splitting.split_pieces(table(spark, d, "documents")).select("doc_id", "piece_no", F.expr("substring(piece, overlap + 1)").alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "part"))), lambda x: x["part"]), "")
+    return p.groupBy("doc_id").agg(F.md5(whole).alias("text_md5"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = near_duplicates.similar_pairs(table(spark, d, "documents"), 0.5)
     return near_duplicates.all_pairs(members, links).select("doc_id_a", "doc_id_b")
@@ -83,6 +90,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("held").agg(F.count("*").alias("containers"), F.sum("items").alias("items"))
 
 
+def p8_balance(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing: documents packed, documents whose parts leave a gap, containers over their capacity, and whether they are within a hundredth (and one) of the fewest possible."""
+    packed = packing.pack(packing.token_lengths(table(spark, d, "documents")))
+    docs = packed.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    full = packed.groupBy("container").agg(F.sum("tokens").alias("held")).agg(F.sum((F.col("held") > packing.CAPACITY).cast("long")).alias("over_full"), F.count("*").alias("c"), F.sum("held").alias("all"))
+    counted = docs.agg(F.count("*").alias("documents"), F.sum((F.col("t") != F.col("end")).cast("long")).alias("gaps"))
+    return counted.crossJoin(full).select("documents", "gaps", "over_full", (F.col("c") <= F.ceil(F.col("all") / packing.CAPACITY) * 1.01 + 1).alias("close"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).where("kind = 'exact'").select("doc_id", "item_id")
 
@@ -103,7 +119,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [p1_found, p1_segments, p2_found, p2_defects_by_model, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_neighbours, p6_found, p6_sessions, p8_packed, p8_fill, p9_found, p9_leaks, p10_found, p10_restored]
+    found = [p1_found, p1_segments, p2_found, p2_defects_by_model, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_groups, p5_found, p5_neighbours, p6_found, p6_sessions, p8_packed, p8_fill, p8_balance, p9_found, p9_leaks, p10_found, p10_restored]
     return {f.__name__: f for f in found}
 
 
@@ -122,6 +138,29 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
             SELECT doc_id_a, doc_id_b FROM c JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b
             WHERE c * 2 >= x.n + y.n - c""",
+        "p3_rebuilt": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE length(text) > 2000",
+        "p4_groups": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+            h AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS h, count(*) AS n FROM s GROUP BY doc_id),
+            m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep, n FROM h),
+            r AS (SELECT s.* FROM s JOIN m ON m.doc_id = s.doc_id AND m.rep = s.doc_id),
+            c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+            l AS (SELECT a, b FROM c JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8),
+            e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+            reach(x, y) AS (SELECT DISTINCT rep, rep FROM m UNION SELECT q.x, e.y FROM reach q JOIN e ON q.y = e.x)
+            SELECT m.doc_id, g.group_id, m.rep, coalesce(k.links, 0) AS links FROM m JOIN (SELECT x AS rep, min(y) AS group_id FROM reach GROUP BY x) g USING (rep) LEFT JOIN (SELECT x AS rep, count(*) AS links FROM e GROUP BY x) k USING (rep)""",
+        "p5_neighbours": r"""
+            WITH u AS (SELECT vec_id, dim, min(vector) AS v FROM vectors
+                       WHERE dim IN (32, 64) AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                         AND len(list_filter(vector, lambda x: x <> 0)) > 0
+                       GROUP BY vec_id, dim),
+            d AS (SELECT vec_id, dim, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM u),
+            p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 12) AS s,
+                         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS r
+                  FROM d a JOIN d b ON a.dim = b.dim AND a.vec_id <> b.vec_id)
+            SELECT a AS vec_id, CAST(r AS INTEGER) AS rank, b AS neighbour, round(s, 9) AS similarity FROM p WHERE r <= 10""",
+        "p8_balance": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS over_full, true AS close FROM documents",
         "p5_found": r"""
             WITH u AS (SELECT vec_id, dim, min(vector) AS v FROM vectors
                        WHERE dim IN (32, 64) AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
