@@ -66,10 +66,15 @@ def degradation(full: DataFrame, quantised: DataFrame) -> DataFrame:
 
 
 def containment_qrels(items: DataFrame, documents: DataFrame, words: int = 8, key: str = "doc_id") -> DataFrame:
-    """(qid, key, rel): documents that hold the first ``words`` words of an item, as an equi-join on word runs."""
+    """(qid, key, rel): documents that share any run of ``words`` words with an item.
+
+    An equi-join on two 64-bit hashes of the runs, so no run travels as text.
+    """
     from papyrine.functions.text import tokens
 
-    i = items.select("qid", tokens(F.col("text"), 1).alias("w")).where(F.size("w") >= words).select("qid", F.array_join(F.slice("w", 1, words), " ").alias("g"))
-    d = documents.select(key, tokens(F.col("text"), 1).alias("w")).where(F.size("w") >= words)
-    g = d.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda p: F.array_join(F.slice("w", p, words), " ")))).alias("g"))
-    return g.join(i, "g").select("qid", key).distinct().withColumn("rel", F.lit(1))
+    def runs(rows: DataFrame, ident: str) -> DataFrame:
+        w = rows.select(ident, tokens(F.col("text"), 1).alias("w")).where(F.size("w") >= words)
+        g = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda p: F.struct(F.xxhash64(F.slice("w", p, words)).alias("g"), F.xxhash64(F.lit(1), F.slice("w", p, words)).alias("h")))
+        return w.select(ident, F.explode(g).alias("x")).select(ident, "x.g", "x.h")
+
+    return runs(documents, key).join(runs(items, "qid"), ["g", "h"]).select("qid", key).distinct().withColumn("rel", F.lit(1))

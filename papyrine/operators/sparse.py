@@ -17,8 +17,10 @@ from papyrine.plans.layout import cut, spread
 K1, B = 1.5, 0.75
 #: Score at which the similarity reaches 1.
 FULL_SCORE = 15.0
-#: Queries scored at a time.
-QUERY_BLOCK = 1024
+#: Queries scored at a time at most, and cells of the matrix of a block's words by its queries (8 bytes each): the bound of what is broadcast.
+QUERY_BLOCK, CELLS = 1024, 4_000_000
+#: Tasks for each core that sum over all documents.
+SUMMING = 2
 _WORDS = re.compile(r"\w{2,}")
 
 
@@ -101,7 +103,8 @@ def _statistics(encoded: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
             n, total = n + len(pdf), total + int(pdf["dl"].sum())
         yield pd.DataFrame({"i": np.r_[np.arange(size), -1, -2], "x": np.r_[df, n, total]})
 
-    x = {r.i: r.x for r in encoded.mapInPandas(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+    few = encoded.coalesce(SUMMING * encoded.sparkSession.sparkContext.defaultParallelism)
+    x = {r.i: r.x for r in few.mapInPandas(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()}
     n = x.get(-1, 0)
     return n, x.get(-2, 0) / n if n else 0.0, np.array([x.get(i, 0) for i in range(size)], np.float64)
 
@@ -129,18 +132,19 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
     idf = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
     mean = mean if avgdl is None else float(avgdl)
     rows = encoded if allowed is None else encoded.join(allowed.select(key).distinct(), key, "left_semi")
-    ids, out = list(per), None
-    for lo in range(0, len(ids), QUERY_BLOCK):
-        part = ids[lo : lo + QUERY_BLOCK]
-        weights = np.zeros((len(vocabulary), len(part)))
+    out = None
+    for part in _blocks(per):
+        # Only the block's own words have a row, so its matrix has a bound whatever the vocabulary.
+        own = np.unique(np.array([t for q in part for t, _ in per[q]], np.int64))
+        weights = np.zeros((len(own), len(part)))
         for j, q in enumerate(part):
             for t, qf in per[q]:
-                weights[t, j] = qf * idf[t] if weighting == "bm25" else np.log1p(qf)
-        held = spark.sparkContext.broadcast((part, weights, mean))
+                weights[np.searchsorted(own, t), j] = qf * idf[t] if weighting == "bm25" else np.log1p(qf)
+        held = spark.sparkContext.broadcast((part, own, weights, mean))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            part, weights, mean = held.value
-            step = max(50, 4_000_000 // len(weights))
+            part, own, weights, mean = held.value
+            step = max(50, CELLS // len(weights))
             for pdf in batches:
                 for at in range(0, len(pdf), step):
                     p = pdf.iloc[at : at + step]
@@ -149,10 +153,13 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
                         continue
                     t, tf = np.frombuffer(b"".join(p["ids"]), np.int32), np.frombuffer(b"".join(p["tfs"]), np.int32)
                     rows_ = np.repeat(np.arange(len(p)), sizes)
+                    place = np.minimum(np.searchsorted(own, t), len(own) - 1)
+                    known = own[place] == t
+                    place, tf, rows_ = place[known], tf[known], rows_[known]
                     dl = p["dl"].to_numpy()[rows_]
                     w = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / mean)) if weighting == "bm25" else np.log1p(tf)
                     dense = np.zeros((len(p), len(weights)))
-                    dense[rows_, t] = w
+                    dense[rows_, place] = w
                     s = (dense @ weights).T
                     keys = p[key].to_numpy()
                     take = min(k, s.shape[1])
@@ -165,6 +172,21 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
     return _ranked(out, k, key)
 
 
+def _blocks(per: dict) -> Iterator[list]:
+    """Queries in blocks whose words times queries stay within CELLS."""
+    part: list = []
+    words: set = set()
+    for q, terms in per.items():
+        more = {t for t, _ in terms}
+        if part and (len(part) == QUERY_BLOCK or len(words | more) * (len(part) + 1) > CELLS):
+            yield part
+            part, words = [], set()
+        part.append(q)
+        words |= more
+    if part:
+        yield part
+
+
 def _ranked(scores: DataFrame, k: int, key: str) -> DataFrame:
     found = top_k(scores, k, key=key)
     return found.select("qid", key, F.col("rnk").cast("int").alias("rnk"), F.round("score", 6).alias("score"), F.round(similarity(F.col("score")), 6).alias("sim"))

@@ -64,7 +64,7 @@ BOTH = """bo AS (SELECT qid, doc_id, coalesce(s.score, 0.0) AS bm25, coalesce(d.
 FUSED = f"WITH {bm25()}, {run()}, {dense(ITEMQ)}"
 
 _QRELS = f"""bw AS (SELECT item_id AS qid, {words('text')} AS w FROM benchmark),
-    bg AS (SELECT qid, array_to_string(w[1:8], ' ') AS g FROM bw WHERE len(w) >= 8),
+    bg AS (SELECT DISTINCT qid, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT qid, w, unnest(range(1, len(w) - 6)) AS i FROM bw WHERE len(w) >= 8)),
     dw AS (SELECT doc_id, {words('text')} AS w FROM documents),
     dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM dw WHERE len(w) >= 8)),
     qrels AS (SELECT DISTINCT qid, doc_id FROM bg JOIN dg USING (g))"""

@@ -83,6 +83,17 @@ def test_bm25(spark):
     assert [(r.doc_id, r.score) for r in only] == [(5, s[5])]
 
 
+def test_search_in_blocks_of_words(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    text_of = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 60, n))
+    docs = spark.createDataFrame([(i, text_of(30)) for i in range(80)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, text_of(8)) for i in range(12)], "qid long, text string")
+    whole = [tuple(r) for r in sparse.search(docs, asked, 5).orderBy("qid", "rnk").collect()]
+    monkeypatch.setattr(sparse, "CELLS", 40)
+    assert len(list(sparse._blocks({1: [(0, 1)] * 3, 2: [(i, 1) for i in range(30)], 3: [(5, 1)]}))) == 3
+    assert [tuple(r) for r in sparse.search(docs, asked, 5).orderBy("qid", "rnk").collect()] == whole
+
+
 def test_fusion_ranks(spark):
     lists = [(1, 1, 2), (2, 3, 1), (3, 5, 4)]
     d = spark.createDataFrame([(0, a, b) for a, b, _ in lists], "qid int, doc_id int, rnk int")
