@@ -13,19 +13,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.plans.layout import cut
 
-try:
-    import ahocorasick
-except ImportError:  # pragma: no cover - the plain scan gives the same candidates
-    ahocorasick = None
-
-#: Lines of a file that one task orders at a time, and the lines repeated from the next such block.
-BLOCK_LINES, HALO = 50_000, 2
+#: Line numbers of a file that one task orders at a time.
+BLOCK_LINES = 50_000
 
 # Level words and initials by meaning.
 LEVELS = {
@@ -84,24 +80,19 @@ def _automaton():
     for i, x in enumerate(LAYOUTS):
         for a in x.anchors:
             by.setdefault(a.lower(), []).append(i)
-    if ahocorasick is None:
-        return by, None
     auto = ahocorasick.Automaton()
     for a, ids in by.items():
         auto.add_word(a, ids)
     auto.make_automaton()
-    return by, auto
+    return auto
 
 
-_BY_ANCHOR, _AUTOMATON = _automaton()
+_AUTOMATON = _automaton()
 
 
 def candidates(line: str) -> list[int]:
     """Layouts of which an anchor stands in the line, in the order of ``LAYOUTS``."""
-    low = line.lower()
-    if _AUTOMATON is None:
-        return sorted({i for a, ids in _BY_ANCHOR.items() if a in low for i in ids})
-    return sorted({i for _, ids in _AUTOMATON.iter(low) for i in ids})
+    return sorted({i for _, ids in _AUTOMATON.iter(line.lower()) for i in ids})
 
 
 def level_of(word: str | None) -> str | None:
@@ -244,13 +235,15 @@ def _with_entries(lines: DataFrame) -> DataFrame:
     and what a block takes over from the ones before it is found on the table of
     block summaries, of one row per ``BLOCK_LINES`` lines.
     """
-    block = F.floor(F.col("line_no") / BLOCK_LINES)
-    halo = F.col("line_no") - block * BLOCK_LINES < HALO
-    placed = lines.withColumn("block", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))))
+    placed = lines.withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
     inside = Window.partitionBy("logfile", "block").orderBy("line_no")
-    nxt = F.lead("kind").over(inside)
-    start = (F.col("kind") == 1) | ((F.col("kind") == 2) & (nxt == 3))
-    marked = placed.withColumn("start", F.when(start, F.col("line_no"))).where(F.col("block") == block)
+    # The line after a block's last is the first of the next block that has any, however many numbers are missing between.
+    firsts = placed.groupBy("logfile", "block").agg(F.min_by("kind", "line_no").alias("first_kind"))
+    nexts = firsts.select("logfile", "block", F.lead("first_kind").over(Window.partitionBy("logfile").orderBy("block")).alias("next_kind"))
+    placed = placed.join(nexts, ["logfile", "block"])
+    following = F.coalesce(F.lead("kind").over(inside), "next_kind")
+    start = (F.col("kind") == 1) | ((F.col("kind") == 2) & (following == 3))
+    marked = placed.withColumn("start", F.when(start, F.col("line_no"))).drop("next_kind")
     marked = marked.withColumn("first_line", F.last("start", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     summary = marked.groupBy("logfile", "block").agg(F.max("start").alias("last_start"))
     before = summary.withColumn("carried", F.max("last_start").over(Window.partitionBy("logfile").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("logfile", "block", "carried")

@@ -82,6 +82,13 @@ def test_blocks_of_a_long_file_are_joined(spark, monkeypatch):
     assert [(r.first_line, r.last_line) for r in got] == [(0, 5), (6, 10), (11, 14)]
 
 
+def test_numbers_missing_at_a_block_edge(spark, monkeypatch):
+    monkeypatch.setattr(logs, "BLOCK_LINES", 10)
+    lines = {1: "2025-01-10 01:57:01,000 - INFO - a.b - x", 9: "{", 34: '  "timestamp": "2025-01-10T02:00:00Z",', 37: '  "level": "INFO"', 52: "{", 71: "no field"}
+    got = logs.log_entries(_frame(spark, [(x, "INFO", "log", None, F1, i) for i, x in lines.items()]), False).orderBy("first_line").collect()
+    assert [(r.first_line, r.last_line) for r in got] == [(1, 1), (9, 71)]
+
+
 def test_empty_table(spark):
     assert logs.log_entries(spark.createDataFrame([], ROWS)).count() == 0
 
