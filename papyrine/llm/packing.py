@@ -18,8 +18,8 @@ CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Groups of one length are ranked in so many parts, so that no task orders a whole length.
-RANK_PARTS = 128
+#: Groups of one length are ranked in parts, so that no task orders a whole length: so many at least, and one for so many items.
+RANK_PARTS, RANKED = 128, 50_000
 _ENCODERS: dict[str, object] = {}
 
 
@@ -119,8 +119,10 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", toke
     items = lengths.select(F.col(key).alias("_key"), n.alias("_n"))
     parts = items.select("_key", "_n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_n") / capacity).cast("int") - 1))).alias("part_no"))
     parts = parts.select("_key", "part_no", (F.col("part_no") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("_n") - F.col("part_no") * capacity).cast("int").alias("length"))
-    parts = cut(parts.withColumn("chunk", F.pmod(F.xxhash64("_key", "part_no"), F.lit(RANK_PARTS)).cast("int")))
-    # The histogram has at most ``capacity`` rows and its parts RANK_PARTS times as many.
+    parts = cut(parts)
+    chunks = max(RANK_PARTS, parts.count() // RANKED)
+    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("_key", "part_no"), F.lit(chunks)).cast("int"))
+    # The histogram has at most ``capacity`` rows and its parts as many times that as there are chunks.
     by_chunk = parts.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_chunk.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
