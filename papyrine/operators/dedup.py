@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import clean_text
-from papyrine.operators.graph import connected_components
+from papyrine.operators.graph import bucket_pairs, connected_components
 from papyrine.plans.layout import cut, spread
 
 #: Signature length and words of a shingle.
@@ -22,8 +22,6 @@ PRIME = 2_147_483_647
 SIMILAR, FINE_BANDS, FINE_ROWS = 0.8, 29, 4
 #: Agreeing minima of PERMUTATIONS below which a pair is not verified; one at SIMILAR has fewer with probability 2e-10.
 AGREE = 64
-#: Members of a bucket that are paired in one group; larger buckets are cut into blocks of this size.
-BLOCK = 256
 
 
 def permutation(i: int) -> tuple[int, int]:
@@ -89,15 +87,7 @@ def _sign(shingles: DataFrame, key: str) -> DataFrame:
 def all_candidate_pairs(signatures: DataFrame, key: str = "doc_id") -> DataFrame:
     """(a, b), a < b: every two representatives that share one of FINE_BANDS bands."""
     bands = F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * FINE_ROWS + 1, FINE_ROWS)) for k in range(FINE_BANDS)])
-    rows = cut(signatures.select(F.col(key).alias("id"), F.explode(bands).alias("band")))
-    large = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    # Every two blocks of a bucket meet, so no group holds more than about two of them.
-    spot = rows.join(large, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spot = spot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spot = spot.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "id")).alias("m"))
-    one, two = F.filter("m", lambda x: x["block"] == F.col("i")), F.filter("m", lambda x: x["block"] == F.col("j"))
-    crossed = spot.select(F.explode(one).alias("x"), two.alias("ys")).select("x", F.explode("ys").alias("y")).where("x.id != y.id")
-    return crossed.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return bucket_pairs(cut(signatures.select(F.col(key).alias("id"), F.explode(bands).alias("bucket"))))
 
 
 def signed_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papyrine.operators.graph import bucket_pairs
 from papyrine.operators.sparse import top_k
+from papyrine.plans.layout import cut
 from papyrine.plans.ordered import exact_percentiles
 
 #: Query vectors held by a task at a time; more are searched in blocks.
@@ -260,15 +262,27 @@ def representatives(vectors: DataFrame, key: str = "doc_id", vector: str = "embe
     return v.join(v.groupBy("h").agg(F.min("id").alias("rep")), "h").select("rep", "id")
 
 
-def semantic_edges(vectors: DataFrame, threshold: float = 0.92, k: int | None = 50, key: str = "doc_id", vector: str = "embedding", bands: int = 64, bits: int = 14, seed: int = 5) -> DataFrame:
-    """(src, dst, weight), src < dst: pairs of different vectors with at least the threshold, among each other's k best.
+#: Probability that a pair at the threshold shares no band.
+MISSED = 4e-5
 
-    Candidates share one of ``bands`` strings of ``bits`` sign bits; at a cosine of 0.92 a
-    pair is missed with probability 4e-5. Equal vectors stand under their smallest id
-    (``representatives``), so a group of copies never fills a bucket. Weights are exact.
+
+def bands_for(threshold: float, n: int) -> tuple[int, int]:
+    """(bands, bits): as many bits as keep the chance pairs of n vectors in proportion to n, 14 at least, and the bands they need."""
+    bits = max(14, int(n).bit_length())
+    agree = (1.0 - np.arccos(threshold) / np.pi) ** bits
+    return int(np.ceil(np.log(MISSED) / np.log1p(-agree))), bits
+
+
+def semantic_edges(vectors: DataFrame, threshold: float = 0.92, k: int | None = 50, key: str = "doc_id", vector: str = "embedding", seed: int = 5) -> DataFrame:
+    """(src, dst, weight), src < dst: pairs of different vectors of one length with at least the threshold, among each other's k best (None: all).
+
+    Candidates share a band of sign bits, of which there are so many that a pair at the threshold is missed with probability
+    MISSED. Equal vectors stand under their smallest id (``representatives``), so a group of copies never fills a
+    bucket, and large buckets are paired in blocks. Weights are exact.
     """
     reps = representatives(vectors, key, vector).where("rep = id").select("rep")
-    v = vectors.select(F.col(key).cast("long").alias("rep"), F.col(vector).alias("v")).join(reps, "rep", "left_semi").dropDuplicates(["rep"])
+    v = cut(vectors.select(F.col(key).cast("long").alias("rep"), F.col(vector).alias("v")).join(reps, "rep", "left_semi").dropDuplicates(["rep"]))
+    bands, bits = bands_for(threshold, v.count())
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -277,15 +291,22 @@ def semantic_edges(vectors: DataFrame, threshold: float = 0.92, k: int | None =
                     x = np.stack(part["v"].to_numpy()).astype(np.float64)
                     g = np.random.default_rng([seed, n]).standard_normal((n, bands * bits))
                     b = (x @ g > 0).reshape(len(x), bands, bits)
-                    code = (b << np.arange(bits)).sum(2) + (np.arange(bands) + bands * n)[None, :] * (1 << bits)
-                    yield pd.DataFrame({"bucket": code.ravel(), "rep": np.repeat(part["rep"].to_numpy(), bands)})
+                    code = (b << np.arange(bits)).sum(2) + ((np.arange(bands) + bands * n)[None, :] << bits)
+                    yield pd.DataFrame({"bucket": code.ravel(), "id": np.repeat(part["rep"].to_numpy(), bands)})
 
-    rows = v.mapInPandas(sign, "bucket long, rep long")
-    pairs = rows.alias("x").join(rows.alias("y"), "bucket").where("x.rep < y.rep").select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst")).distinct()
-    both = pairs.join(v.select(F.col("rep").alias("src"), F.col("v").alias("x")), "src").join(v.select(F.col("rep").alias("dst"), F.col("v").alias("y")), "dst")
-    edges = both.where(F.size("x") == F.size("y")).select("src", "dst", cosine(F.col("x"), F.col("y")).alias("weight")).where(F.round("weight", 9) >= threshold)
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf["x"].map(len)):
+                w = np.einsum("ij,ij->i", _units(part["x"]), _units(part["y"]))
+                keep = np.round(w, 9) >= threshold
+                yield pd.DataFrame({"src": part["a"].to_numpy()[keep], "dst": part["b"].to_numpy()[keep], "weight": w[keep]})
+
+    pairs = bucket_pairs(cut(v.mapInPandas(sign, "bucket long, id long")))
+    both = pairs.join(v.select(F.col("rep").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("rep").alias("b"), F.col("v").alias("y")), "b")
+    edges = both.where(F.size("x") == F.size("y")).select("a", "b", "x", "y").mapInPandas(weigh, "src long, dst long, weight double")
     if k is None:
         return edges
+    edges = cut(edges)
     sides = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(edges.select("dst", "src", "weight"))
     near = sides.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.round("weight", 9).desc(), "b"))).where(F.col("r") <= k)
     return near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight").distinct()

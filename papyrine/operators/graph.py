@@ -45,3 +45,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(now.select(F.col("src").alias("node"), F.col("dst").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+#: Members of a bucket that are paired in one group; larger buckets are cut into blocks of this size.
+BLOCK = 256
+
+
+def bucket_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, each once: every two ids that share a bucket, of written rows (bucket, id).
+
+    Every two blocks of a bucket meet, so no group holds more than about two of them.
+    """
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    spot = rows.join(large, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spot = spot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spot = spot.groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "id")).alias("m"))
+    one, two = F.filter("m", lambda x: x["block"] == F.col("i")), F.filter("m", lambda x: x["block"] == F.col("j"))
+    crossed = spot.select(F.explode(one).alias("x"), two.alias("ys")).select("x", F.explode("ys").alias("y")).where("x.id != y.id")
+    return crossed.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()

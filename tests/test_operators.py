@@ -205,7 +205,7 @@ def test_verified_pairs_equal_brute_force(spark):
 
 @pytest.mark.parametrize("block", [256, 5])
 def test_every_pair_of_a_bucket(spark, monkeypatch, block):
-    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(graph, "BLOCK", block)
     # Ids under 30 share the first band only, 100 and 101 the last, 200 none.
     rows = [(i, [0] * 4 + [1000 * i + j for j in range(113)]) for i in range(30)]
     rows += [(i, [1000 * i + j for j in range(112)] + [7] * 4 + [i]) for i in (100, 101)] + [(200, list(range(10**6, 10**6 + 117)))]
@@ -213,6 +213,12 @@ def test_every_pair_of_a_bucket(spark, monkeypatch, block):
     assert sorted(got) == [(a, b) for a in range(30) for b in range(a + 1, 30)] + [(100, 101)]
 
 
+def test_bands_follow_the_number_of_vectors():
+    for n in (10, 50_000, 10**9):
+        bands, bits = dense.bands_for(0.92, n)
+        assert (1 - (1 - np.arccos(0.92) / np.pi) ** bits) ** bands <= dense.MISSED and n / 2**bits <= 1
+
+
 def test_semantic_edges_of_all_dims(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = []
