@@ -338,6 +338,8 @@ def oracle_sql() -> dict[str, str]:
         me AS (SELECT vec_id, length(text) AS metric FROM (SELECT vec_id, min(doc_id) AS doc_id FROM vectors WHERE doc_id IS NOT NULL GROUP BY vec_id) LEFT JOIN documents USING (doc_id))
         SELECT vec_id, cluster_id, first_value(vec_id) OVER (PARTITION BY cluster_id ORDER BY coalesce(metric, 0) DESC, vec_id) AS canonical, count(*) OVER (PARTITION BY cluster_id) AS size FROM comp LEFT JOIN me USING (vec_id)"""
     sql["dedup_results_by_content"] = f"""{base} SELECT qid, doc_id, rnk FROM (SELECT s.*, row_number() OVER (PARTITION BY qid, {clean('d.text')} ORDER BY rnk) AS n FROM sp s JOIN documents d USING (doc_id)) WHERE n = 1"""
+    sql["dedup_results_by_cluster"] = f"""{base}, c AS (SELECT s.*, row_number() OVER (PARTITION BY qid, {clean('d.text')} ORDER BY rnk) AS n FROM sp s JOIN documents d USING (doc_id))
+        SELECT qid, doc_id, rnk FROM (SELECT *, row_number() OVER (PARTITION BY qid, CASE WHEN doc_id % 7 <> 0 THEN doc_id // 10 ELSE doc_id END ORDER BY rnk) AS m FROM c WHERE n = 1) WHERE m = 1"""
     sql["cluster_representatives"] = """SELECT source || '/' || coalesce(lang, '?') AS cluster, arg_max(doc_id, length(text) * 1000000::BIGINT - doc_id) AS representative, count(*) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1"""
 
     sql["noise_assigned"] = f"""WITH v AS (SELECT vec_id AS doc_id, embedding AS e, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE CAST(label AS INTEGER) END AS c, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
@@ -373,7 +375,7 @@ def oracle_sql() -> dict[str, str]:
     sql["chunks_per_source"] = "SELECT source, count(*) AS n FROM documents GROUP BY source"
     sql["semi_fetch"] = "SELECT doc_id, id FROM documents WHERE doc_id IN (SELECT doc_id FROM vectors WHERE doc_id IS NOT NULL)"
     sql["resume_anti"] = "SELECT doc_id, id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM vectors WHERE doc_id IS NOT NULL)"
-    sql["delete_cascade"] = """WITH m AS (SELECT doc_id, collection_id AS c FROM documents WHERE collection_id IS NOT NULL), l AS (SELECT c, count(*) AS n FROM m WHERE NOT (c < 'm' OR doc_id % 2 = 0) GROUP BY c)
+    sql["delete_cascade"] = """WITH m AS (SELECT doc_id, collection_id AS c FROM documents WHERE collection_id IS NOT NULL), l AS (SELECT c, count(*) AS n FROM m WHERE NOT (md5(c) < '6' OR doc_id % 2 = 0) GROUP BY c)
         SELECT id, coalesce(n, 0) AS n FROM collections LEFT JOIN l ON c = id WHERE n IS NOT NULL OR id NOT IN (SELECT c FROM m)"""
     sql["latest_wins"] = "SELECT id, role, epoch_us(received_at) AS received_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, coalesce(role, '') DESC) AS n FROM messages WHERE id IS NOT NULL) WHERE n = 1"
     sql["file_status_counts"] = "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type"
@@ -418,5 +420,6 @@ def oracle_sql() -> dict[str, str]:
     sql["sealed_round_trip"] = "SELECT item_id AS qid, true AS same FROM benchmark"
     sql["smart_sample"] = f"""WITH {_QRELS}, r AS (SELECT DISTINCT doc_id FROM qrels), o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r))
         SELECT doc_id FROM r UNION ALL SELECT doc_id FROM o WHERE n <= greatest(0, 500 - (SELECT count(*) FROM r))"""
-    sql["response_lines"] = f"WITH {bm25()}, {run(3)} SELECT qid, count(*) + 1 AS lines FROM sp GROUP BY qid"
+    sql["response_lines"] = f"""WITH {bm25()}, {run(3)} SELECT qid, rnk AS seq, 'source' AS type, doc_id, score, CAST(NULL AS BIGINT) AS n FROM sp
+        UNION ALL SELECT qid, CAST(max(rnk) + 1 AS INTEGER), 'done', NULL, NULL, count(*) FROM sp GROUP BY qid"""
     return sql

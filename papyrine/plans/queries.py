@@ -448,6 +448,14 @@ def dedup_results_by_content(spark, d):
     return dedup.unique_results(r, _docs(spark, d).select("doc_id", "text")).select("qid", "doc_id", "rnk")
 
 
+@query
+def dedup_results_by_cluster(spark, d):
+    """The first result of each content and of each cluster; tens of ids stand for clusters here."""
+    r = _sparse_run(spark, d).select("qid", "doc_id", "rnk")
+    c = _docs(spark, d).where("doc_id % 7 != 0").select("doc_id", F.floor(F.col("doc_id") / 10).cast("long").alias("cluster_id"))
+    return dedup.unique_results(r, _docs(spark, d).select("doc_id", "text"), cluster=c).select("qid", "doc_id", "rnk")
+
+
 @query
 def cluster_representatives(spark, d):
     """The longest document of each source and language."""
@@ -617,7 +625,7 @@ def resume_anti(spark, d):
 @query
 def delete_cascade(spark, d):
     m = _docs(spark, d).where("collection_id is not null").select("doc_id", "collection_id")
-    gone = m.where("collection_id < 'm' or doc_id % 2 = 0").select("doc_id")
+    gone = m.where("md5(collection_id) < '6' or doc_id % 2 = 0").select("doc_id")
     left, kept = catalog.delete_cascade(m, table(spark, d, "collections"), gone)
     return kept.join(left.groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
@@ -781,7 +789,9 @@ def questions_to_corpus(spark, d):
 @query
 def response_lines(spark, d):
     r = _sparse_run(spark, d, 3)
-    return writers.response_lines(r.select("qid", "rnk", "doc_id", "score")).groupBy("qid").agg(F.count("*").alias("lines"))
+    line = writers.response_lines(r.select("qid", "rnk", "doc_id", "score"))
+    get = lambda f, t: F.get_json_object("line", f"$.{f}").cast(t).alias(f)
+    return line.select("qid", "seq", get("type", "string"), get("doc_id", "long"), get("score", "double"), get("n", "long"))
 
 
 # -- log entries --------------------------------------------------------------------------------
