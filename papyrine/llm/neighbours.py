@@ -29,7 +29,7 @@ from papyrine.plans.layout import cut
 
 #: Groups of trees and trees of a group.
 GROUPS, TREES = 2, 8
-#: A partition of a group holds about this many vectors; the shared bits are as many as that takes.
+#: A partition of a group holds about this many vectors of dimension 64 or less; the shared bits are as many as that takes.
 PARTITION = 65_536
 #: Partitions of a group that a vector asks in.
 PROBES = 3
@@ -353,7 +353,8 @@ def nearest(vectors: DataFrame, k: int = K, dims: tuple[int, ...] | None = None)
     usable = cut(usable_vectors(vectors, dims))
     reps, twins = _equal_vectors(usable)
     counts = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    depth = {d: max(0, int(np.ceil(np.log2(n / PARTITION)))) for d, n in counts.items()}
+    # Long vectors take more room, so fewer of them share a partition.
+    depth = {d: max(0, int(np.ceil(np.log2(n * max(64, d) / 64 / PARTITION)))) for d, n in counts.items()}
     shared = {}
     for d, p in depth.items():
         sample = _sample(usable, d) if p else np.zeros((0, d))
