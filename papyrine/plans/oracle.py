@@ -337,6 +337,15 @@ def oracle_sql() -> dict[str, str]:
         reach(x, y) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.x, lk.y FROM reach r JOIN lk ON r.y = lk.x), comp AS (SELECT x AS vec_id, min(y) AS cluster_id FROM reach GROUP BY x),
         me AS (SELECT vec_id, length(text) AS metric FROM (SELECT vec_id, min(doc_id) AS doc_id FROM vectors WHERE doc_id IS NOT NULL GROUP BY vec_id) LEFT JOIN documents USING (doc_id))
         SELECT vec_id, cluster_id, first_value(vec_id) OVER (PARTITION BY cluster_id ORDER BY coalesce(metric, 0) DESC, vec_id) AS canonical, count(*) OVER (PARTITION BY cluster_id) AS size FROM comp LEFT JOIN me USING (vec_id)"""
+    sql["table_groups"] = """WITH t AS (SELECT table_name AS name, string_agg(column_name, ',' ORDER BY column_name) AS columns, md5(string_agg(lower(column_name), ',' ORDER BY lower(column_name))) AS signature
+            FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'conversations', 'messages', 'collections') GROUP BY table_name)
+        SELECT signature, string_agg(name, ',' ORDER BY name) AS tables, any_value(columns) AS columns FROM t GROUP BY signature"""
+    rough = _COS.format(a="q.qvec", b="r.z")
+    sql["eval_degradation"] = f"""WITH {dense(STATED)}, v AS (SELECT vec_id, embedding AS e, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 7 AS s FROM embeddings),
+        r AS (SELECT vec_id, list_transform(e, lambda x: round(CAST(x AS DOUBLE) / s) * s) AS z FROM v),
+        ro AS (SELECT * FROM (SELECT q.qid, r.vec_id AS doc_id, row_number() OVER (PARTITION BY q.qid ORDER BY round({rough}, 6) DESC, r.vec_id) AS n FROM ({STATED}) q CROSS JOIN r) WHERE n <= 10),
+        d AS (SELECT qid, 1.0::DOUBLE - count(ro.doc_id) / 10.0::DOUBLE AS d FROM dn LEFT JOIN ro USING (qid, doc_id) GROUP BY qid), m AS (SELECT avg(d) AS m FROM d)
+        SELECT 10 AS k, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd, round(min(d), 6) AS least, round(max(d), 6) AS most, round(avg(CASE WHEN abs(d - m) <= 0.02 THEN 1.0 ELSE 0.0 END), 6) AS within FROM d CROSS JOIN m"""
     sql["dedup_results_by_content"] = f"""{base} SELECT qid, doc_id, rnk FROM (SELECT s.*, row_number() OVER (PARTITION BY qid, {clean('d.text')} ORDER BY rnk) AS n FROM sp s JOIN documents d USING (doc_id)) WHERE n = 1"""
     sql["dedup_results_by_cluster"] = f"""{base}, c AS (SELECT s.*, row_number() OVER (PARTITION BY qid, {clean('d.text')} ORDER BY rnk) AS n FROM sp s JOIN documents d USING (doc_id))
         SELECT qid, doc_id, rnk FROM (SELECT *, row_number() OVER (PARTITION BY qid, CASE WHEN doc_id % 7 <> 0 THEN doc_id // 10 ELSE doc_id END ORDER BY rnk) AS m FROM c WHERE n = 1) WHERE m = 1"""
